@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from marlstone.llm.langid import identify_languages
 from marlstone.llm.token_counts import token_counts
 from marlstone.llm.token_files import token_files
+from marlstone.llm.toxicity import toxicity
 from marlstone.llm.transducer import bpe_round_trip
 
 
@@ -20,6 +21,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_docs(spark, sf_dir))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_docs(spark, sf_dir))
 
@@ -33,7 +38,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op6_token_counts, op8_bpe_round_trip, op10_token_files)}
+    return {f.__name__: f for f in (op2_language_id, op3_toxicity, op6_token_counts, op8_bpe_round_trip, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
