@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm.langid import identify_languages
+from marlstone.llm.substrings import substring_dedup
 from marlstone.llm.token_counts import token_counts
 from marlstone.llm.token_files import token_files
 from marlstone.llm.toxicity import toxicity
@@ -33,12 +34,16 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_docs(spark, sf_dir))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_docs(spark, sf_dir))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(_docs(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_toxicity, op6_token_counts, op8_bpe_round_trip, op10_token_files)}
+    return {f.__name__: f for f in (op2_language_id, op3_toxicity, op6_token_counts, op8_bpe_round_trip, op9_substring_dedup, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
