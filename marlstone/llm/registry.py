@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm.langid import identify_languages
+from marlstone.llm.neardup import near_duplicates
 from marlstone.llm.substrings import substring_dedup
 from marlstone.llm.token_counts import token_counts
 from marlstone.llm.token_files import token_files
@@ -26,6 +27,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_docs(spark, sf_dir))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_docs(spark, sf_dir))
 
@@ -43,7 +48,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_toxicity, op6_token_counts, op8_bpe_round_trip, op9_substring_dedup, op10_token_files)}
+    return {f.__name__: f for f in (op2_language_id, op3_toxicity, op4_near_duplicates, op6_token_counts, op8_bpe_round_trip, op9_substring_dedup, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
