@@ -6,11 +6,11 @@ estimate of it, is no less than the window's: an estimate below two rules a repe
 a tenth of all positions are anchors, so only these are put in the sketches.  Every task sketches its own part
 (saturating at two), and the parts are merged slice by slice.
 
-Pass 2 groups.  Windows estimated repeated are dealt out by their anchor, and grouped by a 128-bit hash of their words.  Windows
+Pass 2 groups.  Windows estimated repeated are dealt out by their anchor, and grouped by a 96-bit hash of their words.  Windows
 that meet an equal within a piece are settled on the spot and sent once for all, so however common a passage is, a
 piece sends it once.  Repeats come back as stretches of words, keyed by the MD5 of the text, and are joined with the documents.
 
-Equality is that of 64-bit word hashes and 128-bit window hashes.
+Equality is that of 64-bit word hashes and 96-bit window hashes.
 
 Defined results: a null or empty text has no words, none removed, and the digest of the empty string; windows never
 span two documents; a repeated row repeats all of its windows; a null ``doc_id`` stays null; other columns are ignored
@@ -27,7 +27,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import written
 from marlstone.llm.textbatch import Words, mix, pieces, powers, spans
 
 WIDTH = 35
@@ -40,7 +39,9 @@ MIN_BITS, MAX_BITS = 16, 27
 SHARD_BYTES = 6 << 20
 FAR = np.uint64(0xFFFFFFFFFFFFFFFF)
 ROWS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03))
-RECORD = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<u4"), ("at", "<u4"), ("known", "u1")])
+#: A window as it is sent: 96 bits of hash, its text's place in the list sent along, its first word, and whether its piece has settled it.
+RECORD = np.dtype([("a", "<u8"), ("b", "<u4"), ("doc", "<u4"), ("at", "<u4")])
+KNOWN = np.uint32(1 << 31)
 
 
 def _slide(x: np.ndarray, n: int, of: np.ufunc, end) -> np.ndarray:
@@ -80,14 +81,14 @@ class Anchored:
         self.grams = g[(back == g) & (g != FAR)]
 
     def window_hashes(self, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent 64-bit hashes of the windows that start at the given words."""
+        """Two independent hashes, of 64 and 32 bits, of the windows that start at the given words."""
         n = len(self.words)
         _, inverse = powers(n + 1)
         a = mix((self.total[at + width] - self.total[at]) * inverse[at])
         power, inverse = powers(n + 1, 1)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(mix(self.hash ^ ROWS[1]) * power[:n], out=total[1:])
-        return a, mix((total[at + width] - total[at]) * inverse[at])
+        return a, mix((total[at + width] - total[at]) * inverse[at]) >> np.uint64(32)
 
 
 def cells(h: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -160,7 +161,7 @@ def _stretches(row: np.ndarray, at: np.ndarray, width: int) -> Iterator[tuple[in
 def repeats(docs: DataFrame, bits: int, sketch: list[np.ndarray], width: int, shards: int) -> DataFrame:
     """Stretches covered by repeated windows: ``md5`` of the text (16 bytes) and ``stretches``, some rows per text."""
     shipped = docs.sparkSession.sparkContext.broadcast(sketch)  # DEPTH * 2**MAX_BITS / 8 bytes at most
-    out_of = ["shard", "md5", "data"]
+    out_of = ["shard", "settled", "md5", "data"]
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bit = shipped.value
@@ -193,7 +194,7 @@ def repeats(docs: DataFrame, bits: int, sketch: list[np.ndarray], width: int, sh
             settled = many[group]
             found = list(_stretches(row_of[settled], place[settled], width))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([-1] * len(found), pa.int64()), pa.array([digest(k) for k, _ in found], pa.binary()), pa.array([d for _, d in found], pa.binary())], out_of)
+                yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(digest(k)[:4], "little") % shards for k, _ in found], pa.int64()), pa.array([True] * len(found)), pa.array([digest(k) for k, _ in found], pa.binary()), pa.array([d for _, d in found], pa.binary())], out_of)
             first = np.flatnonzero(new)
             shard = (w.anchor[at[first]] * ROWS[0] % np.uint64(shards)).astype(np.int64)
             deal = np.argsort(shard, kind="stable")
@@ -205,14 +206,17 @@ def repeats(docs: DataFrame, bits: int, sketch: list[np.ndarray], width: int, sh
                 f = first[cut[s] : cut[s + 1]]
                 rows, doc = np.unique(row_of[f], return_inverse=True)
                 r = np.empty(len(f), RECORD)
-                r["a"], r["b"], r["doc"], r["at"], r["known"] = x[f], y[f], doc, place[f], many[group[f]]
+                r["a"], r["b"], r["doc"], r["at"] = x[f], y[f], doc, place[f].astype(np.uint32) | KNOWN * many[group[f]]
                 names.append(b"".join(digest(k) for k in rows.tolist()))
                 sent.append(r.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(names, pa.binary()), pa.array(sent, pa.binary())], out_of)
+            yield pa.RecordBatch.from_arrays([pa.array(full), pa.array([False] * len(full)), pa.array(names, pa.binary()), pa.array(sent, pa.binary())], out_of)
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, records, base = [], [], 0
-        for b in batches:
+        for both in batches:
+            done = both.filter(both.column("settled"))
+            yield pa.RecordBatch.from_arrays([done.column("md5"), done.column("data")], ["md5", "stretches"])
+            b = both.filter(pa.compute.invert(both.column("settled")))
             for name, data in zip(b.column("md5"), b.column("data")):
                 r = np.frombuffer(data.as_buffer(), RECORD).copy()
                 r["doc"] += base
@@ -228,19 +232,17 @@ def repeats(docs: DataFrame, bits: int, sketch: list[np.ndarray], width: int, sh
         new = np.ones(len(r), bool)
         new[1:] = (r["a"][1:] != r["a"][:-1]) | (r["b"][1:] != r["b"][:-1])
         g = np.cumsum(new) - 1
-        again = (np.bincount(g) > 1) | (np.bincount(g, r["known"]) > 0)
+        known = r["at"] >= KNOWN
+        again = (np.bincount(g) > 1) | (np.bincount(g, known) > 0)
         # what a piece settled for itself it has sent already
-        r = r[again[g] & (r["known"] == 0)]
+        r = r[again[g] & ~known]
         md5 = b"".join(names)
         found = list(_stretches(r["doc"], r["at"], width))
         for a in range(0, len(found), 5000):
             part = found[a : a + 5000]
             yield pa.RecordBatch.from_arrays([pa.array([md5[k * 16 : k * 16 + 16] for k, _ in part], pa.binary()), pa.array([d for _, d in part], pa.binary())], ["md5", "stretches"])
 
-    proposed = written(docs.mapInArrow(propose, "shard long, md5 binary, data binary"), "windows")
-    settled = proposed.where("shard < 0").select("md5", F.col("data").alias("stretches"))
-    grouped = proposed.where("shard >= 0").repartition(shards, "shard").mapInArrow(group, "md5 binary, stretches binary")
-    return settled.unionByName(grouped)
+    return docs.mapInArrow(propose, "shard long, settled boolean, md5 binary, data binary").repartition(shards, "shard").mapInArrow(group, "md5 binary, stretches binary")
 
 
 def strip(texts: pa.Array, stretches: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
