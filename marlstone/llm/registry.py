@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marlstone.llm.decontaminate import decontaminate
 from marlstone.llm.langid import identify_languages
 from marlstone.llm.neardup import near_duplicates
 from marlstone.llm.substrings import substring_dedup
@@ -31,6 +32,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_docs(spark, sf_dir))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_docs(spark, sf_dir))
 
@@ -48,7 +53,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_toxicity, op4_near_duplicates, op6_token_counts, op8_bpe_round_trip, op9_substring_dedup, op10_token_files)}
+    return {f.__name__: f for f in (op2_language_id, op3_toxicity, op4_near_duplicates, op5_decontamination, op6_token_counts, op8_bpe_round_trip, op9_substring_dedup, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
