@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marlstone.llm.crosspolytope import nearest
 from marlstone.llm.decontaminate import decontaminate
 from marlstone.llm.langid import identify_languages
 from marlstone.llm.neardup import near_duplicates
@@ -20,6 +21,10 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_docs(spark, sf_dir))
 
@@ -53,7 +58,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_language_id, op3_toxicity, op4_near_duplicates, op5_decontamination, op6_token_counts, op8_bpe_round_trip, op9_substring_dedup, op10_token_files)}
+    return {f.__name__: f for f in (op1_nearest, op2_language_id, op3_toxicity, op4_near_duplicates, op5_decontamination, op6_token_counts, op8_bpe_round_trip, op9_substring_dedup, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
