@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from marlstone.llm.crosspolytope import nearest
 from marlstone.llm.decontaminate import decontaminate
 from marlstone.llm.langid import identify_languages
+from marlstone.llm.lmscore import score_documents
 from marlstone.llm.neardup import near_duplicates
 from marlstone.llm.substrings import substring_dedup
 from marlstone.llm.token_counts import token_counts
@@ -45,6 +46,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_docs(spark, sf_dir))
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_docs(spark, sf_dir))
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_docs(spark, sf_dir))
 
@@ -58,7 +63,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_nearest, op2_language_id, op3_toxicity, op4_near_duplicates, op5_decontamination, op6_token_counts, op8_bpe_round_trip, op9_substring_dedup, op10_token_files)}
+    return {f.__name__: f for f in (op1_nearest, op2_language_id, op3_toxicity, op4_near_duplicates, op5_decontamination, op6_token_counts, op7_lm_scores, op8_bpe_round_trip, op9_substring_dedup, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
