@@ -1,12 +1,72 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: language ID, near-duplicates, substring deduplication, decontamination, BPE encoding.
+
+Every stage takes the documents its predecessor kept and returns the columns of ``documents``, the last one the
+encoded documents.  Texts that a stage changes have their ``n_chars`` brought up to date; no stage caps or samples.
+
+* language ID keeps a document unless no language is found in it (no text, or no letter) or the best score is under
+  ``LEAST_SCORE``; it replaces ``lang`` by the language found;
+* near-duplicates keeps the document with the least id of every class, once;
+* substring deduplication takes out passages of 35 words or more that occur again, and leaves other texts as they are;
+* decontamination drops documents that hold a benchmark item;
+* encoding returns ``doc_id``, ``source``, ``lang``, ``n_tokens`` and the digests of the ids and of the decoded text.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marlstone.llm.decontaminate import decontaminate
+from marlstone.llm.langid import identify_languages
+from marlstone.llm.neardup import near_duplicates
+from marlstone.llm.shared import written
+from marlstone.llm.substrings import substring_dedup
 from marlstone.llm.transducer import bpe_round_trip
 
-STAGES = [("bpe", lambda spark, docs, sf_dir: bpe_round_trip(docs))]
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+LEAST_SCORE = 0.2
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language; ``lang`` is the one found."""
+    found = identify_languages(docs, keep=("text", "source", "n_chars"))
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of every near-duplicate class; of rows with that id, one."""
+    kept = near_duplicates(docs).where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without repeated passages."""
+    left = substring_dedup(docs, outputs=("n_removed", "kept"), keep=("text", "lang", "source", "n_chars"))
+    cut = F.col("n_removed") > 0
+    return left.select("doc_id", F.when(cut, F.col("kept")).otherwise(F.col("text")).alias("text"), "lang", "source", F.when(cut, F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=COLUMNS[1:])
+    return found.where(~F.col("contaminated")).select(*COLUMNS)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of the documents, as digests."""
+    return bpe_round_trip(docs, keep=("source", "lang"))
+
+
+STAGES = [("language_id", language_id), ("near_duplicates", one_of_each), ("substrings", without_repeats), ("decontamination", decontaminated), ("encoding", encoded)]
+#: No SQL: language ID and decontamination can't be expressed in it.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, name)
     return docs
