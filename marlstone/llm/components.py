@@ -5,22 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import written
+from marlstone.llm.shared import checkpointed
+
+#: Every so many rounds labels also take their own labels, which shortens long chains.
+JUMP_EVERY = 4
 
 
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``label`` (the least node of its component) for every node of ``links`` (columns ``a``, ``b``, of one type).
 
-    Rounds of taking the least label among neighbours and then the label's own label, until nothing changes; each
-    round is written to the shared folder, so lineage stays short.
+    Every round, nodes send their labels along their links and keep the least they have.  Links and labels are checkpointed as they
+    lie, by node, so that a round shuffles the messages alone, of which each task sends one per node at most.
     """
-    edges = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
-    labels = written(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"), "labels")
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
+    edges = checkpointed(both.dropDuplicates(["a", "b"]).repartition("a"))
+    labels = checkpointed(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")))
+    turn = 0
     while True:
-        near = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.least("label", "near").alias("new"), F.col("label").alias("old"))
-        jump = labels.select(F.col("node").alias("new"), F.col("label").alias("far"))
-        moved = written(step.join(jump, "new").select("node", F.least("new", "far").alias("label"), (F.least("new", "far") != F.col("old")).alias("moved")), "labels")
+        turn += 1
+        near = edges.join(labels, edges["a"] == labels["node"]).groupBy(F.col("b").alias("to")).agg(F.min("label").alias("near"))
+        step = labels.join(near, labels["node"] == near["to"]).select("node", F.least("label", "near").alias("new"), F.col("label").alias("old"))
+        if turn % JUMP_EVERY == 0:
+            far = labels.select(F.col("node").alias("at"), F.col("label").alias("far"))
+            step = step.join(far, step["new"] == far["at"]).select("node", F.least("new", "far").alias("new"), "old")
+        moved = checkpointed(step.select("node", F.col("new").alias("label"), (F.col("new") != F.col("old")).alias("moved")))
         labels = moved.select("node", "label")
-        if not moved.where("moved").limit(1).count():
+        if moved.where("moved").isEmpty():
             return labels
