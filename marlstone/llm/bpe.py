@@ -9,12 +9,14 @@ from __future__ import annotations
 
 import json
 import os
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 
+from marlstone.llm.bpe_batch import BatchMerger
+
 #: Text bytes encoded at a time; larger pieces hold fewer distinct chunks.
 PIECE_BYTES = 12 << 20
 
@@ -101,6 +103,20 @@ class Vocabulary:
             ids[at : at + 2] = [best[1]]
         return ids
 
+    @cached_property
+    def batch(self) -> BatchMerger:
+        return BatchMerger(self.merges, self.inner, self.final)
+
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk, as little-endian unsigned 32-bit integers; all distinct words are merged together."""
+        index: dict[str, int] = {}
+        plan: list[list[int]] = []
+        for c in chunks:
+            plan.append([-1 - p if isinstance(p, int) else index.setdefault(p, len(index)) for p in self.parts(c)])
+        merged = self.batch.ids([w.encode("utf-8", "surrogateescape") for w in index], lambda w: self.merge(w.decode("utf-8", "surrogateescape")))
+        packed = [a.tobytes() for a in merged]
+        return [packed[r[0]] if len(r) == 1 and r[0] >= 0 else b"".join(packed[k] if k >= 0 else (-1 - k).to_bytes(4, "little") for k in r) for r in plan]
+
     def token_strings(self) -> list[str]:
         """The string of every id."""
         out = [""] * (max(self.ids.values()) + 1)
