@@ -7,6 +7,9 @@ again.  Blocks are cut by number of ids only, so a long document spans several;
 Files are written by the tasks of a range-partitioned, sorted stage straight into the shared folder, under a name
 of the attempt's own; only the files that the finished attempts report are read, so a lost or repeated task does no harm.
 
+Ids are those of the ``tokenizers`` library; distinct chunks of a piece are merged together (see ``bpe_batch``), which the tests hold
+against the library.
+
 Defined results: a null or empty text has the end id alone; null document ids come first; equal ids follow one
 another by text, each with a start of its own; other columns are ignored; an empty table gives no rows.
 """
@@ -28,19 +31,14 @@ from marlstone.llm.textbatch import Words, pieces
 
 MAGIC = b"MARLTOK1"
 END_ID = 1
-_memo: dict[str, bpe.Recent] = {}
+PIECE_BYTES = 6 << 20
 
 
-def library_ids(texts: pa.Array, path: str, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of the rows, one row after another, and each row's number of ids; the library encodes each distinct chunk once."""
-    tok, memo = bpe.library(path), _memo.setdefault(path, bpe.Recent())
+def token_ids(texts: pa.Array, path: str, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the rows, one row after another, and each row's number of ids; each distinct chunk is encoded once."""
     words = Words(texts)
     codes, chunks = bpe.distinct(words.array())
-    packed = [memo.get(c) for c in chunks]
-    lacking = [k for k, p in enumerate(packed) if p is None]
-    for k, e in zip(lacking, tok.encode_batch([chunks[k] for k in lacking], add_special_tokens=False)):
-        packed[k] = np.array(e.ids, "<u4").tobytes()
-        memo.put(chunks[k], packed[k])
+    packed = bpe.vocabulary(path).encode_chunks(chunks)
     packed.append(b"" if end_id is None else np.array([end_id], "<u4").tobytes())
     codes = np.insert(codes, words.first[1:], len(chunks))
     pool = np.frombuffer(b"".join(packed), "<u4")
@@ -130,8 +128,8 @@ def write_token_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text
         fs, place = filesystem(f"{folder}/{name}")
         with fs.open_output_stream(place) as out:
             w = Writer(out, n_ids)
-            for b in pieces(batches, limit=bpe.PIECE_BYTES):
-                ids, counts = library_ids(b.column("text"), path, end_id)
+            for b in pieces(batches, limit=PIECE_BYTES):
+                ids, counts = token_ids(b.column("text"), path, end_id)
                 key = b.column("doc_id")
                 w.add(key.fill_null(0).to_numpy(), key.is_null().to_numpy(zero_copy_only=False), counts, ids)
             n = w.close()
