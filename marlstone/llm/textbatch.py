@@ -9,7 +9,6 @@ is polynomial arithmetic modulo 2**64 over whole pieces of text, followed by a
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 #: Text bytes handled at a time; bounds the working memory of a Python worker.
-PIECE_BYTES = 3 << 20
+PIECE_BYTES = (2 << 20) - 1
 
 _BASE = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 
@@ -85,21 +84,22 @@ class Words:
         return mix(out + (self.stop - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-@lru_cache(maxsize=4)
-def _power_table(size: int, which: int) -> tuple[np.ndarray, np.ndarray]:
-    base = _BASE[which]
-    tables = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        t = np.full(size, b, dtype=np.uint64)
-        t[0] = 1
-        np.cumprod(t, out=t)
-        tables.append(t)
-    return tables[0], tables[1]
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def powers(size: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64 and of its inverse, at least ``size`` of them."""
-    return _power_table(max(1 << 16, 1 << (size - 1).bit_length()), which)
+    """Powers of an odd base modulo 2**64 and of its inverse, at least ``size`` of them; one table of each base is kept."""
+    if which not in _tables or len(_tables[which][0]) < size:
+        size = max(1 << 16, 1 << (size - 1).bit_length())
+        _tables.pop(which, None)
+        both = []
+        for b in (_BASE[which], pow(_BASE[which], -1, 1 << 64)):
+            t = np.full(size, b, dtype=np.uint64)
+            t[0] = 1
+            np.cumprod(t, out=t)
+            both.append(t)
+        _tables[which] = (both[0], both[1])
+    return _tables[which]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
