@@ -48,6 +48,19 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in visible else chr(next(spare)) for b in range(256)]
 
 
+def _kinds() -> np.ndarray:
+    """1: ASCII letter; 2: mark that is plain after letters; 0: any other byte."""
+    out = np.zeros(256, np.uint8)
+    out[65:91] = out[97:123] = 1
+    for b in (*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)):
+        out[b] = 2
+    out[[ord("'"), ord("<")]] = 0  # contractions and special tokens begin with these
+    return out
+
+
+_KIND = _kinds()
+
+
 class Vocabulary:
     """Merge ranks and ids of a byte-level BPE file whose words carry an end suffix."""
 
@@ -117,6 +130,47 @@ class Vocabulary:
         packed = [a.tobytes() for a in merged]
         return [packed[r[0]] if len(r) == 1 and r[0] >= 0 else b"".join(packed[k] if k >= 0 else (-1 - k).to_bytes(4, "little") for k in r) for r in plan]
 
+    def encode_distinct(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of each chunk: a pool of ids, where each chunk's begin in it, and how many there are.
+
+        Chunks of Latin-1 letters and then marks need no look at their characters one by one; the others go the long way.
+        """
+        n = len(chunks)
+        ends = np.frombuffer(chunks.buffers()[1], np.int32)[chunks.offset : chunks.offset + n + 1].astype(np.int64)
+        body = np.frombuffer(chunks.buffers()[2], np.uint8) if n and chunks.buffers()[2] is not None else np.empty(0, np.uint8)
+        start, size = ends[:-1], np.diff(ends)
+        kind = _KIND[body]
+        accent = np.zeros(len(body), bool)
+        if len(body) > 1:
+            accent[1:] = (body[:-1] == 0xC3) & (body[1:] >= 0x80) & (body[1:] <= 0xBF) & (body[1:] != 0x97) & (body[1:] != 0xB7)
+            kind = np.where(accent | np.append(accent[1:], False), 1, kind)
+        letter, odd = np.concatenate([[0], np.cumsum(kind == 1)]), np.concatenate([[0], np.cumsum(kind == 0)])
+        # letters come first, if no letter follows another character
+        back = np.zeros(len(body) + 1, np.int64)
+        if len(body) > 1:
+            np.cumsum((kind[1:] == 1) & (kind[:-1] != 1), out=back[2:])
+        first = np.minimum(start + 1, len(body))
+        letters = letter[ends[1:]] - letter[start]
+        plain = (letters > 0) & (odd[ends[1:]] == odd[start]) & (back[ends[1:]] == back[first]) & (np.append(kind, 0)[start] == 1)
+        low = body + ((body >= 65) & (body <= 90) | accent & (body <= 0x9E)).astype(np.uint8) * 32
+        easy, hard = np.flatnonzero(plain), np.flatnonzero(~plain)
+        rest = easy[size[easy] > letters[easy]]
+        one = lambda w: self.merge(w.decode())
+        pool, at, many = self.batch.arrays(low, np.concatenate([start[easy], start[rest] + letters[rest]]), np.concatenate([letters[easy], size[rest] - letters[rest]]), one)
+        long_way = [np.frombuffer(b, "<u4") for b in self.encode_chunks(chunks.take(pa.array(hard)).to_pylist())]
+        # pieces of chunks, in the order of the chunks: letters, then marks; or what the long way gave
+        owner = np.concatenate([easy, rest, hard])
+        pool = np.concatenate([pool, *long_way])
+        extra = np.array([len(x) for x in long_way], np.int64)
+        at = np.concatenate([at, len(pool) - extra.sum() + np.cumsum(extra) - extra]) if len(hard) else at
+        many = np.concatenate([many, extra])
+        order = np.argsort(owner, kind="stable")
+        at, many, owner = at[order], many[order], owner[order]
+        total = np.cumsum(many)
+        flat = pool[np.repeat(at - (total - many), many) + np.arange(total[-1] if len(total) else 0)]
+        each = np.bincount(owner, many, n).astype(np.int64)
+        return flat, np.cumsum(each) - each, each
+
     def token_strings(self) -> list[str]:
         """The string of every id."""
         out = [""] * (max(self.ids.values()) + 1)

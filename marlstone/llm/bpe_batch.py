@@ -84,6 +84,27 @@ class BatchMerger:
                 start = end
         return out
 
+    def arrays(self, body: np.ndarray, start: np.ndarray, size: np.ndarray, one_by_one) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the words at ``start`` of ``size`` bytes: a pool of ids, where each word's begin in it, and how many there are."""
+        at, many = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        pool, base = [np.empty(0, "<u4")], 0
+        order = np.argsort(size, kind="stable")
+        cut = np.flatnonzero(np.diff(size[order], prepend=-1, append=-1))
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            own, n = order[a:b], int(size[order[a]])
+            if 2 <= n <= LONGEST:
+                flat, ends = self.block(body[start[own][:, None] + np.arange(n)])
+            elif n == 1:
+                flat, ends = self.final[body[start[own]]].astype("<u4"), np.arange(1, len(own) + 1)
+            else:
+                found = [np.array(one_by_one(body[p : p + n].tobytes()) if n else [], "<u4") for p in start[own].tolist()]
+                flat, ends = np.concatenate(found), np.cumsum([len(f) for f in found])
+            many[own] = np.diff(ends, prepend=0)
+            at[own] = base + ends - many[own]
+            pool.append(flat)
+            base += len(flat)
+        return np.concatenate(pool), at, many
+
     def block(self, body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of equally long words, one word after another, and where each ends."""
         rows, n = body.shape

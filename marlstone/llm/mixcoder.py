@@ -79,7 +79,10 @@ class Model:
         (s1, w1), (s2, w2) = self.interval(g1), self.interval(g2)
         # Away from the guesses, the order-0 intervals lie as they are, moved by the masses before them.
         moved = value - m1 * (value >= s1 + w1) - m2 * ((value >= s2 + w2) & (g1 != g2)) - m2 * ((g1 == g2) & (value >= s1 + w1))
-        x = np.searchsorted(self.cum, moved / (self.rest * self.per), side="right") - 1
+        place = moved / (self.rest * self.per)
+        order = np.argsort(place)  # sorted look-ups stay in the cache
+        x = np.empty(len(place), np.int64)
+        x[order] = np.searchsorted(self.cum, place[order], side="right") - 1
         x = np.minimum(np.maximum(x, 0), self.n_ids - 1)
         for g, s, w in ((g1, s1, w1), (g2, s2, w2)):
             x = np.where((value >= s) & (value < s + w), g, x)

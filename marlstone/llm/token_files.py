@@ -37,13 +37,12 @@ PIECE_BYTES = 6 << 20
 def token_ids(texts: pa.Array, path: str, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
     """All ids of the rows, one row after another, and each row's number of ids; each distinct chunk is encoded once."""
     words = Words(texts)
-    codes, chunks = bpe.distinct(words.array())
-    packed = bpe.vocabulary(path).encode_chunks(chunks)
-    packed.append(b"" if end_id is None else np.array([end_id], "<u4").tobytes())
-    codes = np.insert(codes, words.first[1:], len(chunks))
-    pool = np.frombuffer(b"".join(packed), "<u4")
-    size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-    start = np.cumsum(size) - size
+    coded = words.array().dictionary_encode()
+    pool, start, size = bpe.vocabulary(path).encode_distinct(coded.dictionary)
+    if end_id is not None:
+        pool = np.append(pool, np.uint32(end_id))
+    start, size = np.append(start, len(pool) - 1), np.append(size, end_id is not None)
+    codes = np.insert(coded.indices.to_numpy(), words.first[1:], len(coded.dictionary))
     each = size[codes]
     total = np.cumsum(each)
     ids = pool[np.repeat(start[codes] - (total - each), each) + np.arange(total[-1] if len(total) else 0)]
