@@ -28,13 +28,15 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.components import components
 from marlstone.llm.dartminhash import signatures
-from marlstone.llm.shared import written
+from marlstone.llm.shared import arrow_rows, written
 from marlstone.llm.textbatch import Words, mix, pieces, powers, windows
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, BAND_ROWS = 20, 4
 #: Members of a block in step 4.
 BLOCK = 256
+#: Block pairs that a worker gets at a time.
+DUELS = 8
 
 
 def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
@@ -100,10 +102,16 @@ def block_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator
     """Links between members of different components in pairs of blocks; of those that would close a ring, none."""
     for b in batches:
         for r in range(b.num_rows):
-            sides = [b.column(c)[r] for c in ("left", "right")]
-            members = [m for s in sides for m in s.values.to_pylist()] if b.column("same")[r].as_py() is False else sides[0].values.to_pylist()
-            split = len(sides[0].values) if b.column("same")[r].as_py() is False else 0
-            sets = [np.array(m["shingles"], np.int64) for m in members]
+            same = b.column("same")[r].as_py()
+            sides = [b.column(c)[r].values for c in (("left",) if same else ("left", "right"))]
+            split = 0 if same else len(sides[0])
+            keys = [k for s in sides for k in s.field("key").to_pylist()]
+            comps = [k for s in sides for k in s.field("comp").to_pylist()]
+            sets = []
+            for s in sides:
+                lists = s.field("shingles")
+                flat, cut = lists.values.to_numpy(), lists.offsets.to_numpy()
+                sets += [flat[x:y] for x, y in zip(cut, cut[1:])]
             size = np.array([len(s) for s in sets], np.float64)
             flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size.astype(int))
             _, code, times = np.unique(flat, return_inverse=True, return_counts=True)
@@ -121,7 +129,7 @@ def block_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator
                 x[owner[p:q], code[p:q] - low] = 1
                 both += x[a] @ x[z].T
             ok = both >= threshold * (size[a][:, None] + size[z][None, :] - both) - 1e-6
-            parent = {m["comp"]: m["comp"] for m in members}
+            parent = {c: c for c in comps}
 
             def root(x, parent=parent):
                 while parent[x] != x:
@@ -131,12 +139,11 @@ def block_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator
 
             left, right = [], []
             for i, j in zip(*(v.tolist() for v in np.nonzero(ok))):
-                m, o = members[i], members[j + split]
-                p, q = root(m["comp"]), root(o["comp"])
+                p, q = root(comps[i]), root(comps[j + split])
                 if p != q:
                     parent[p] = q
-                    left.append(m["key"])
-                    right.append(o["key"])
+                    left.append(keys[i])
+                    right.append(keys[j + split])
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
 
@@ -166,7 +173,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left, right = blocks.select("bucket", "block", F.col("members").alias("left")), blocks.select("bucket", F.col("block").alias("other"), F.col("members").alias("right"))
     duels = left.join(right, "bucket").where("block <= other").select("left", "right", (F.col("block") == F.col("other")).alias("same"))
     more = duels.mapInArrow(lambda it: block_links(it, threshold), "a binary, b binary")
-    labels = components(written(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more), "links"))
+    with arrow_rows(docs.sparkSession, DUELS):
+        more = written(more, "links")
+    labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
 
     classed = made.select("doc_id", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "key", F.coalesce("label", "key").alias("label"))
     classed = written(classed, "classes")
