@@ -34,7 +34,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of every near-duplicate class; of rows with that id, one."""
+    """The document with the least id of every near-duplicate class; of rows with that id, one.
+
+    A class whose documents all lack an id has no least one; its documents go, since nothing can name the one to keep.
+    """
     kept = near_duplicates(docs).where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
 
