@@ -10,7 +10,7 @@ import hashlib
 import json
 import re
 from collections.abc import Mapping
-from dataclasses import asdict, dataclass, field, is_dataclass, replace
+from dataclasses import dataclass, field, is_dataclass, replace  # noqa: F401 - replace is for users of these records
 
 from pyspark.sql import types as T
 
@@ -258,5 +258,3 @@ class Catalog:
                     hits.append((kind, name, weight))
         return sorted(hits, key=lambda h: (-h[2], h[0], h[1]))[: min(limit, 64)]
 
-
-__all__ = [n for n in dir() if n[0].isupper()] + ["asdict", "replace"]

@@ -20,7 +20,7 @@ from marlstone.functions import exact
 from marlstone.operators import allocation, calendar, joins
 from marlstone.plans import catalog as C
 from marlstone.plans.errors import CompileError
-from marlstone.plans.literals import Predicates, literal, take
+from marlstone.plans.literals import Predicates, take
 
 AGGREGATE_KINDS = {"ratio", "group", "calendar_group", "aggregate", "metric", "allocate"}
 INTEGER = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -706,5 +706,3 @@ def windowed(function: str, c: Column | None, kind: T.DataType | None, w) -> tup
 def sort_key(c: Column, direction: str, nulls: str) -> Column:
     return {("asc", "first"): c.asc_nulls_first, ("asc", "last"): c.asc_nulls_last, ("desc", "first"): c.desc_nulls_first, ("desc", "last"): c.desc_nulls_last}[direction, nulls]()
 
-
-__all__ = ["Bound", "RowCompiler", "Slot", "aggregate", "literal"]

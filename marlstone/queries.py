@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -514,8 +515,6 @@ def sql_joins_windows(spark, sf):
 def _folder(spark: SparkSession) -> str:
     """A new folder that all machines see: under the checkpoint folder, or a local one where there is none."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    import uuid
-
     return f"{shared.rstrip('/')}/tables-{uuid.uuid4().hex}" if shared else "file://" + tempfile.mkdtemp(prefix="marlstone-")
 
 
