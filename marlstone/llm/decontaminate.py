@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.textbatch import SPACE, mix, pieces, powers, raw
 
-RATE = 0.06
+RATE = 0.08
 BLOCK_CHARS = 8 << 20
 #: Bytes of a piece that are looked up; shorter pieces are looked up whole.
 PROBE = 12
@@ -84,18 +84,17 @@ class Pieces:
     """A block of items, cut into pieces and indexed by the hashes of their beginnings."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float):
-        self.items, self.budget, self.size = items, [], []
-        found: dict[int, dict[int, list[tuple[int, int, bytes]]]] = defaultdict(lambda: defaultdict(list))
+        self.items, self.budget = items, []
+        found: dict[int, dict[int, list[tuple[int, int, int, bytes]]]] = defaultdict(lambda: defaultdict(list))
         for k, (_, text) in enumerate(items):
             e = int(rate * len(text))
             cuts = [len(text) * j // (e + 1) for j in range(e + 2)]
             self.budget.append(e)
-            self.size.append(len(text.encode()))
             for a, b in zip(cuts, cuts[1:]):
                 piece = text[a:b].encode()
                 q = min(PROBE, len(piece))
                 h = int(probe_hash(np.frombuffer(piece, np.uint8), q)[0])
-                found[q][h].append((k, len(text[:a].encode()), piece))
+                found[q][h].append((k, a, len(text[:a].encode()), piece))
         self.lookup = {q: dict(x) for q, x in found.items()}
         self.filters = {}
         for q, x in self.lookup.items():
@@ -115,17 +114,18 @@ class Pieces:
             at = np.flatnonzero(self.filters[q][h >> np.uint64(64 - FILTER_BITS)])
             row = np.searchsorted(offsets, at, side="right") - 1
             for p, r, v in zip(at.tolist(), row.tolist(), h[at].tolist()):
-                for k, before, piece in index.get(v, ()):
-                    if out.get((r, k)) == 0 or flat[p : p + len(piece)] != piece:
+                for k, chars, before, piece in index.get(v, ()):
+                    if out.get((r, k)) == 0 or (r, k, p - before) in tried or flat[p : p + len(piece)] != piece:
                         continue
-                    slack = 4 * self.budget[k] + 4
-                    if (r, k, (p - before) // slack) in tried:
-                        continue
-                    tried.add((r, k, (p - before) // slack))
-                    low, high = int(offsets[r]), int(offsets[r + 1])
-                    a, b = max(low, p - before - 2 * slack), min(high, p - before + self.size[k] + 2 * slack)
-                    d = distance(self.items[k][1], flat[a:b].decode("utf-8", "ignore"))
-                    if d <= self.budget[k]:
+                    tried.add((r, k, p - before))
+                    # what lies as far to both sides as the item does, and as many characters more as there may be edits
+                    item, e = self.items[k][1], self.budget[k]
+                    left, right = chars + e, len(item) - chars + e
+                    low, high = max(int(offsets[r]), p - 4 * left), min(int(offsets[r + 1]), p + 4 * right)
+                    head = flat[low:p].decode("utf-8", "ignore")
+                    text = head[max(0, len(head) - left) :] + flat[p:high].decode("utf-8", "ignore")[:right]
+                    d = distance(item, text)
+                    if d <= e:
                         out[r, k] = min(d, out.get((r, k), d))
         return out
 
