@@ -280,6 +280,20 @@ def test_lm_scores(spark, texts):
         assert abs(r.base_score - want[r.doc_id][4]) < 1e-6 * abs(want[r.doc_id][4]) and r.score < 0
 
 
+def test_lm_scores_learn_from_rows_outside_the_sample(spark, words):
+    rng = random.Random(12)
+    say = lambda some: " ".join(rng.choice(some) for _ in range(60))
+    rare = [w.translate(str.maketrans("abcdefghijklmnop", "qrstuvwxyzqrstuv")) for w in words]
+    asked = next(i for i in range(5000, 6000) if zlib.crc32(str(i).encode()) % 7 == 2)
+    ids, probe = list(range(400)), say(rare)
+    base = spark.createDataFrame([(i, say(words)) for i in ids] + [(asked, probe)], "doc_id long, text string")
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit("model sample")), F.lit(1 << 30)) < (1 << 30) // 4
+    sampled = {r.doc_id for r in base.where(drawn).collect()}  # a draw of 20 of some 340 is within these
+    other = spark.createDataFrame([(r.doc_id, r.text if r.doc_id in sampled or r.doc_id == asked else say(rare)) for r in base.collect()], "doc_id long, text string")
+    one, two = (by_id(score_documents(d, sample=20, steps=30))[asked].score for d in (base, other))
+    assert two > one + 10
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(5)
     v = rng.standard_normal((600, 20))
