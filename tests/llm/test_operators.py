@@ -316,3 +316,10 @@ def test_nearest(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r["rank"], r.vec_id) for r in nearest(few).orderBy("rank").collect()] == [(0, 1, 2), (0, 2, 1)] or [r.vec_id for r in nearest(few).orderBy("rank").collect()] == [2, 1]
     assert nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_attention_model_has_its_full_size():
+    from marlstone.llm.attention import AttentionModel
+
+    p = AttentionModel(2048, np.arange(2048)).p
+    assert p["w1"].shape == (32, 32) and p["d"].shape == (64, 32, 32)
