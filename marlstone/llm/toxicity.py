@@ -8,7 +8,7 @@ inner product of subsequence weights, the sum over landmarks is folded into one
 one look-up per subsequence, with exactly the same result.  A document scores as its worst word.
 
 Training sentences: labels are per document, so the words that make sentences toxic are found first: words that follow
-many different words in toxic documents and never occur in clean ones.  (Different predecessors, since copies of one
+different words in toxic documents and whose rate in clean ones is far lower (a mislabelled or quoting clean text doesn't clear a word).  (Different predecessors, since copies of one
 toxic document repeat all its words, but with the same neighbours.)  Variants with characters put in are added, and clean words
 that the machine gets wrong are added to its training until it gets them right.
 
@@ -36,6 +36,10 @@ from marlstone.llm.langid import remainder
 from marlstone.llm.textbatch import Words, pieces
 
 SAMPLE = 4000
+#: An insult's rate in clean texts, as a share of that in toxic ones, is at most this.
+TOLERANCE = 0.1
+#: Different words that an insult follows, at least.
+LEAST_CONTEXTS = 3
 DECAY = 0.6
 SYMBOLS = 48
 #: Shorter words are never insults.
@@ -185,17 +189,38 @@ def disguised(word: str, rng: np.random.Generator) -> list[str]:
     return out
 
 
+def telling(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, words: list[str]) -> set[str]:
+    """Of ``words``, those whose rate in clean texts is at most ``TOLERANCE`` of that in toxic ones, by more than chance would bring about in one of them all."""
+    share, out = n_toxic / max(1, n_toxic + n_clean), set()
+    for w in words:
+        t, c = toxic[w], clean[w]
+        if c * n_toxic <= TOLERANCE * t * n_clean:
+            n = t + c
+            # Chernoff's bound on t or more of the n texts being toxic
+            excess = t * np.log(t / n / share) + (c * np.log(c / n / (1 - share)) if c else 0.0)
+            if excess > np.log(len(words)):
+                out.add(w)
+    return out
+
+
 def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, contexts: float = 0.01, mined: int = 7) -> Machine | None:
-    """Train on whole texts of both labels; an insult follows as many different words as ``contexts`` times the toxic texts, and 3 at least."""
-    contexts = max(3, round(contexts * len(toxic)))
+    """Train on whole texts of both labels; an insult follows ``LEAST_CONTEXTS`` different words and is ``telling``.
+
+    Words that no clean text holds are also insults if they follow as many different words as ``contexts`` times the toxic texts.
+    """
+    contexts = max(LEAST_CONTEXTS, round(contexts * len(toxic)))
     after: dict[str, set[str]] = defaultdict(set)
     for text in toxic:
         words = [trim(w) for w in text.split()]
         for a, b in zip(["", *words], words):
             if len(after[b]) < contexts:
                 after[b].add(a)
-    fair = Counter(w for text in clean for w in {trim(w) for w in text.split()})
-    insults = sorted(w for w, a in after.items() if len(a) >= contexts and len(w) >= SHORTEST and w not in fair)
+    foul, fair = (Counter(w for text in set(texts) for w in {trim(w) for w in text.split()}) for texts in (toxic, clean))
+    able = [w for w, a in after.items() if len(a) >= LEAST_CONTEXTS and len(w) >= SHORTEST]
+    apart = telling(foul, fair, len(set(toxic)), len(set(clean)), able)
+    insults = sorted(w for w in able if w in apart or (len(after[w]) >= contexts and w not in fair))
+    for w in insults:
+        fair.pop(w, None)
     pool = sorted(w for w in fair if len(w) >= SHORTEST)
     if not insults or not pool:
         return None

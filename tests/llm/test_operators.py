@@ -23,7 +23,7 @@ from marlstone.llm.neardup import near_duplicates
 from marlstone.llm.substrings import substring_dedup
 from marlstone.llm.token_counts import count_word, token_counts
 from marlstone.llm.token_files import token_files
-from marlstone.llm.toxicity import fit, toxicity
+from marlstone.llm.toxicity import decide_texts, fit, toxicity
 from marlstone.llm.transducer import Lexicon, bpe_round_trip, compile_lexicon
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -265,6 +265,16 @@ def test_toxicity_finds_disguised_insults(spark, words):
     assert fit([], ["a b"]) is None
 
 
+def test_toxicity_learns_insults_that_a_clean_text_quotes(words):
+    rng = random.Random(14)
+    say = lambda *more: " ".join(rng.sample([*rng.choices(words, k=20), *more], 20 + len(more)))
+    toxic = [say("vilezzqux") if k % 40 == 0 else say() for k in range(1000)]  # 25 texts, under 1 % of predecessors a text as the sample grows
+    clean = [say() for _ in range(1000)] + [say("vilezzqux")]
+    toxic += [say("grubzzwok") for _ in range(60)]
+    machine = fit(toxic, clean)
+    assert (machine.decide(["vilezzqux", "grubzzwok"]) > 0).all()
+
+
 def test_lm_scores(spark, texts):
     docs = [(None, "no id here"), *enumerate(texts), (0, texts[0])]
     low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
