@@ -283,8 +283,10 @@ def decide_texts(machine: Machine, texts: pa.Array) -> np.ndarray:
     if len(full):
         out[full] = np.maximum(out[full], np.maximum.reduceat(decided, words.first[:-1][full]))
     single = np.array([len(c) <= 3 and len(trim(c)) == 1 for c in chunks], bool)[codes] if len(codes) else np.empty(0, bool)
-    starts = np.flatnonzero(single & ~np.concatenate([[False], single[:-1]]))
-    stops = np.flatnonzero(single & ~np.concatenate([single[1:], [False]])) + 1
+    edge = np.zeros(len(codes) + 1, bool)  # runs end where rows do
+    edge[words.first] = True
+    starts = np.flatnonzero(single & (edge[:-1] | ~np.concatenate([[False], single[:-1]])))
+    stops = np.flatnonzero(single & (edge[1:] | ~np.concatenate([single[1:], [False]]))) + 1
     row = np.searchsorted(words.first, starts, side="right") - 1
     long = stops - starts >= 4
     spelt = ["".join(trim(chunks[c]) for c in codes[a:b]) for a, b in zip(starts[long], stops[long])]

@@ -275,6 +275,16 @@ def test_toxicity_learns_insults_that_a_clean_text_quotes(words):
     assert (machine.decide(["vilezzqux", "grubzzwok"]) > 0).all()
 
 
+def test_spelt_insults_count_for_their_own_row(words):
+    rng = random.Random(15)
+    say = lambda *more: " ".join([*rng.choices(words, k=20), *more, rng.choice(words)])
+    machine = fit([say("nastyfool") for _ in range(80)], [say() for _ in range(80)])
+    rows = ["plain words i", "n a s t y f o o l", "n a s t y f o o l", "", "words a"]
+    together = decide_texts(machine, pa.array(rows))
+    assert np.allclose(together, [decide_texts(machine, pa.array([r]))[0] for r in rows])
+    assert (together > 0).tolist() == [False, True, True, False, False]
+
+
 def test_lm_scores(spark, texts):
     docs = [(None, "no id here"), *enumerate(texts), (0, texts[0])]
     low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
