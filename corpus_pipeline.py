@@ -5,7 +5,7 @@ encoded documents.  Texts that a stage changes have their ``n_chars`` brought up
 
 * language ID keeps a document unless no language is found in it (no text, or no letter) or the best score is under
   ``LEAST_SCORE``; it replaces ``lang`` by the language found;
-* near-duplicates keeps the document with the least id of every class, once;
+* near-duplicates keeps one document of every class, whatever its id: the one with the least id, nulls last, once;
 * substring deduplication takes out passages of 35 words or more that occur again, and leaves other texts as they are;
 * decontamination drops documents that hold a benchmark item;
 * encoding returns ``doc_id``, ``source``, ``lang``, ``n_tokens`` and the digests of the ids and of the decoded text.
@@ -34,12 +34,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of every near-duplicate class; of rows with that id, one.
-
-    A class whose documents all lack an id has no least one; its documents go, since nothing can name the one to keep.
-    """
-    kept = near_duplicates(docs).where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One document of every near-duplicate class: the one with the least id, nulls last; of rows with that id, one text, chosen by its digest, once."""
+    docs = docs.withColumn("row", F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.md5("text"))))
+    kept = near_duplicates(docs, row_col="row").where(F.col("row") == F.col("first_row")).select("row").distinct()
+    return docs.join(kept, "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,7 +65,8 @@ def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.
 
 
 def profiles(docs: DataFrame, weighted: bool = False) -> DataFrame:
-    """Per document: ``doc_id``, ``key`` of its words, ``bands`` (a hash each) and ``shingles``; copies within a piece have the latter two null."""
+    """Per document: ``doc_id``, ``row`` if it has one, ``key`` of its words, ``bands`` (a hash each) and ``shingles``; copies within a piece have the latter two null."""
+    own = [c for c in ("doc_id", "row") if c in docs.columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in pieces(batches):
@@ -88,14 +89,15 @@ def profiles(docs: DataFrame, weighted: bool = False) -> DataFrame:
             at = np.arange(0, (n + 1) * BANDS, BANDS)
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column("doc_id"), pa.array(keys, pa.binary()),
+                    *(b.column(c) for c in own), pa.array(keys, pa.binary()),
                     pa.array([None if none[i] else flat[at[i] : at[i + 1]] for i in range(n)], pa.list_(pa.int64())),
                     pa.array([None if none[i] else np.unique(small[cut[i] : cut[i + 1]]) for i in range(n)], pa.list_(pa.int32())),
                 ],
-                ["doc_id", "key", "bands", "shingles"],
+                [*own, "key", "bands", "shingles"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, key binary, bands array<long>, shingles array<int>")
+    fields = {"doc_id": "doc_id long", "row": "row string"}
+    return docs.mapInArrow(run, ", ".join([*(fields[c] for c in own), "key binary, bands array<long>, shingles array<int>"]))
 
 
 def block_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
@@ -148,9 +150,14 @@ def block_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, weighted: bool = False) -> DataFrame:
-    """One row per document: ``doc_id``, ``class_id`` (least id of its class), ``class_size`` (documents) and ``n_texts`` (distinct texts) of the class."""
-    src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, weighted: bool = False, row_col: str | None = None) -> DataFrame:
+    """One row per document: ``doc_id``, ``class_id`` (least id of its class), ``class_size`` (documents) and ``n_texts`` (distinct texts) of the class.
+
+    ``row_col`` names a string column that tells rows apart whatever their ids; with it there are also ``row`` and ``first_row``,
+    the row of the class with the least id (nulls last), and of those the least ``row``.
+    """
+    own = ["row"] if row_col else []
+    src = docs.select(docs[id_col].cast("long").alias("doc_id"), *(docs[row_col].alias(c) for c in own), docs[text_col].alias("text"))
     made = written(profiles(src, weighted), "profiles")
     texts = made.where("bands is not null").groupBy("key").agg(F.first("bands").alias("bands"))
     banded = texts.select("key", F.explode("bands").alias("bucket"))
@@ -177,7 +184,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = written(more, "links")
     labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
 
-    classed = made.select("doc_id", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").select("doc_id", "key", F.coalesce("label", "key").alias("label"))
+    classed = made.select("doc_id", *own, "key").join(labels.withColumnRenamed("node", "key"), "key", "left").select("doc_id", *own, "key", F.coalesce("label", "key").alias("label"))
     classed = written(classed, "classes")
-    summary = classed.groupBy("label", "key").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")).groupBy("label").agg(F.min("low").alias("class_id"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("n_texts"))
-    return classed.select("doc_id", "label").join(summary, "label").select("doc_id", "class_id", "class_size", "n_texts")
+    least = lambda c: [F.min(c).alias("first")] if own else []
+    summary = classed.groupBy("label", "key").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"), *least(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *own)))
+    summary = summary.groupBy("label").agg(F.min("low").alias("class_id"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("n_texts"), *least(F.col("first")))
+    out = classed.select("doc_id", *own, "label").join(summary, "label")
+    return out.select("doc_id", "class_id", "class_size", "n_texts", *own, *(F.col("first.row").alias("first_row") for _ in own))

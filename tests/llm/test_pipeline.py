@@ -84,3 +84,11 @@ def test_stages_return_the_columns_of_documents_and_bear_odd_rows(spark):
                 assert tuple(out.columns) == corpus_pipeline.COLUMNS
         assert out.count() == (1 if rows is odd else 0)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "substrings", "decontamination", "encoding"]
+
+
+def test_every_near_duplicate_class_keeps_a_row_whatever_its_id(spark):
+    one, two, three, four = (" ".join(f"{c}{k}" for k in range(40)) for c in "abcd")
+    rows = [(None, one), (None, one), (None, two), (5, two), (7, three), (7, four), (9, four)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.one_of_each(spark, docs, SF).collect()]
+    assert sorted(got, key=str) == sorted([(None, one), (5, two), (7, three), (7, four)], key=str)
