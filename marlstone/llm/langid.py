@@ -27,6 +27,8 @@ from marlstone.llm.textbatch import SPACE, pieces, raw
 
 GRAMS = 64**3 + 64**2 + 64
 SAMPLE, LANDMARKS, RIDGE = 3000, 128, 1e-2
+#: Languages learned at most, the most frequent ones; rarer ones are never predicted.
+LANGUAGES = 1000
 #: Presence columns are built for this many texts at a time.
 ROWS = 256
 
@@ -111,7 +113,7 @@ class Model:
 
 
 def fit(grams: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model | None:
-    """Kernel ridge regression on Nyström features; the landmarks take turns over the languages."""
+    """Kernel ridge regression on Nyström features; the landmarks take turns over the languages, and are as many as these at least."""
     keep = [k for k, g in enumerate(grams) if len(g)]
     grams, labels = [grams[k] for k in keep], [labels[k] for k in keep]
     if not grams:
@@ -121,7 +123,7 @@ def fit(grams: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS,
     for k, y in enumerate(labels):
         turn.append((seen[y], y, k))
         seen[y] += 1
-    chosen = [k for *_, k in sorted(turn)[:landmarks]]
+    chosen = [k for *_, k in sorted(turn)[: max(landmarks, len(languages))]]
     codes = np.unique(np.concatenate([grams[k] for k in chosen]))
     column = np.full(GRAMS, -1, np.int32)
     column[codes] = np.arange(len(codes))
@@ -143,14 +145,14 @@ def fit(grams: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS,
     return m
 
 
-def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int, held: int, sample: int, landmarks: int) -> Model | None:
-    """Fit on about ``sample`` rows outside the held-out fold, as many of each language as there are, drawn by hash."""
+def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int, held: int, sample: int, landmarks: int, languages: int) -> Model | None:
+    """Fit on about ``sample`` rows outside the held-out fold, as many of each language as there are, drawn by hash; only the ``languages`` most frequent ones are learned."""
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(F.col("doc_id"), folds) != held))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count")).limit(1000).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     if not counts:
         return None
-    quota = max(1, sample // len(counts))
+    quota = max(3, sample // len(counts))
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 30))
     bar = F.lit(0)
     for lang, n in counts.items():
@@ -163,14 +165,14 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int
             yield pa.RecordBatch.from_arrays([b.column("h"), b.column("lang"), packed], ["h", "lang", "grams"])
 
     # copies are gone, so the draw is close to its size; the limit holds it where ids are not spread evenly
-    found = drawn.mapInArrow(grams, "h long, lang string, grams binary").orderBy("h", "grams").limit(sample * 2).collect()
+    found = drawn.mapInArrow(grams, "h long, lang string, grams binary").orderBy("h", "grams").limit(max(sample, quota * len(counts)) * 2).collect()
     return fit([np.frombuffer(r.grams, np.int32) for r in found], [r.lang for r in found], landmarks)
 
 
-def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held: int = 2, sample: int = SAMPLE, landmarks: int = LANDMARKS, keep: tuple[str, ...] = ()) -> DataFrame:
+def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held: int = 2, sample: int = SAMPLE, landmarks: int = LANDMARKS, keep: tuple[str, ...] = (), languages: int = LANGUAGES) -> DataFrame:
     """One row per document: ``doc_id``, ``held_out``, ``lang_pred`` and ``score`` (0 to 1), and the columns named in ``keep``."""
-    model = train(docs, id_col, text_col, lang_col, folds, held, sample, landmarks)
-    shipped = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of landmarks over a fixed gram alphabet
+    model = train(docs, id_col, text_col, lang_col, folds, held, sample, landmarks, languages)
+    shipped = docs.sparkSession.sparkContext.broadcast(model)  # at most LANDMARKS or ``languages`` landmarks over a fixed gram alphabet
     made = ["doc_id", "held_out", "lang_pred", "score"]
     kept = [c for c in keep if c not in made]
     src = docs.select(docs[id_col].alias("doc_id"), (remainder(docs[id_col], folds) == held).alias("held_out"), docs[text_col].alias("__text"), *(docs[c] for c in kept))

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.llm import bpe, mixcoder
+from marlstone.llm import bpe, langid, mixcoder
 from marlstone.llm.components import components
 from marlstone.llm.crosspolytope import nearest
 from marlstone.llm.dartminhash import signatures
@@ -245,6 +245,13 @@ def test_language_id(spark):
     assert {r.lang_pred for r in none.collect()} == {"und"}
 
 
+def test_every_language_has_a_landmark():
+    grams = [np.arange(20 * k, 20 * k + 20, dtype=np.int32) for k in range(12) for _ in range(3)]
+    labels = [f"l{k:02}" for k in range(12) for _ in range(3)]
+    m = langid.fit(grams, labels, landmarks=4)
+    assert [m.languages[k] for k in (m.kernel(grams) @ m.weights + m.bias).argmax(1)] == labels
+
+
 def test_toxicity_finds_disguised_insults(spark, words):
     rng = random.Random(8)
     say = lambda n: [rng.choice(words) for _ in range(n)]
