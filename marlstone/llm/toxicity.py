@@ -38,8 +38,8 @@ from marlstone.llm.textbatch import Words, pieces
 SAMPLE = 4000
 #: An insult's rate in clean texts, as a share of that in toxic ones, is at most this.
 TOLERANCE = 0.1
-#: Different words that an insult follows, at least.
-LEAST_CONTEXTS = 3
+#: Different words that an insult need follow at most, however large the sample; near copies give a word a few.
+CONTEXTS = 16
 DECAY = 0.6
 SYMBOLS = 48
 #: Shorter words are never insults.
@@ -204,21 +204,21 @@ def telling(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, words: l
 
 
 def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, contexts: float = 0.01, mined: int = 7) -> Machine | None:
-    """Train on whole texts of both labels; an insult follows ``LEAST_CONTEXTS`` different words and is ``telling``.
+    """Train on whole texts of both labels; an insult follows ``CONTEXTS`` different words and is ``telling``.
 
-    Words that no clean text holds are also insults if they follow as many different words as ``contexts`` times the toxic texts.
+    Words that no clean text holds need follow only ``contexts`` times the toxic texts, if that is less, and 3 at least.
     """
-    contexts = max(LEAST_CONTEXTS, round(contexts * len(toxic)))
+    contexts = min(CONTEXTS, max(3, round(contexts * len(toxic))))
     after: dict[str, set[str]] = defaultdict(set)
     for text in toxic:
         words = [trim(w) for w in text.split()]
         for a, b in zip(["", *words], words):
-            if len(after[b]) < contexts:
+            if len(after[b]) < CONTEXTS:
                 after[b].add(a)
     foul, fair = (Counter(w for text in set(texts) for w in {trim(w) for w in text.split()}) for texts in (toxic, clean))
-    able = [w for w, a in after.items() if len(a) >= LEAST_CONTEXTS and len(w) >= SHORTEST]
-    apart = telling(foul, fair, len(set(toxic)), len(set(clean)), able)
-    insults = sorted(w for w in able if w in apart or (len(after[w]) >= contexts and w not in fair))
+    able = [w for w, a in after.items() if len(a) >= contexts and len(w) >= SHORTEST]
+    apart = telling(foul, fair, len(set(toxic)), len(set(clean)), [w for w in able if len(after[w]) >= CONTEXTS])
+    insults = sorted(w for w in able if w not in fair or w in apart)
     for w in insults:
         fair.pop(w, None)
     pool = sorted(w for w in fair if len(w) >= SHORTEST)
