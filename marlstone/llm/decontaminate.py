@@ -22,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.textbatch import SPACE, mix, pieces, powers, raw
+from marlstone.llm.textbatch import SPACE, pieces, raw
 
 RATE = 0.08
 BLOCK_CHARS = 8 << 20
 #: Bytes of a piece that are looked up; shorter pieces are looked up whole.
 PROBE = 12
 FILTER_BITS = 20
+_ODDS = [np.uint64(pow(0x9E3779B97F4A7C15, 2 * k + 1, 1 << 64)) for k in range(PROBE)]
 
 
 def _lower() -> np.ndarray:
@@ -131,12 +132,18 @@ class Pieces:
 
 
 def probe_hash(body: np.ndarray, q: int) -> np.ndarray:
-    """Hashes of all ``q``-byte stretches."""
-    n = len(body)
-    power, inverse = powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((body.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-    return mix((total[q:] - total[:-q]) * inverse[: n - q + 1])
+    """Hashes of all ``q``-byte stretches; what they find is compared byte by byte, so that products will do."""
+    count = len(body) - q + 1
+    levels = [body.astype(np.uint64)]  # one, two, four and eight bytes from every place on, as numbers
+    for k in range(min(q, 8).bit_length() - 1):
+        levels.append(levels[-1][: -(1 << k)] | levels[-1][1 << k :] << np.uint64(8 << k))
+    out, done = None, 0
+    while done < q:
+        k = min(q - done, 8).bit_length() - 1
+        part = levels[k][done : done + count] * _ODDS[done % len(_ODDS)]
+        out = part if out is None else np.add(out, part, out=out)
+        done += 1 << k
+    return out
 
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:

@@ -11,7 +11,7 @@
 
 Shingles weigh one each by default, so that the similarity is the Jaccard similarity of the shingle sets; with
 ``weighted=True`` a shingle weighs as often as it occurs, and the similarity is the weighted one.
-Shingles are compared by 32-bit hashes: at most a shingle or so among thousands is confused.
+Copies are told by 128-bit digests of their words; shingles are compared by 32-bit hashes: at most a shingle or so among thousands is confused.
 
 Defined results: null and empty texts are copies of one another; a text of fewer words than a shingle is one shingle; rows with the
 same ``doc_id`` are in the classes of their texts; a class whose ids are all null has a null ``class_id``; other columns are ignored.
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from marlstone.llm.components import components
 from marlstone.llm.dartminhash import signatures
 from marlstone.llm.shared import arrow_rows, written
-from marlstone.llm.textbatch import Words, mix, pieces, powers, windows
+from marlstone.llm.textbatch import Words, mix, pieces, windows
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, BAND_ROWS = 20, 4
@@ -46,22 +46,16 @@ def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.
     g, at = windows(h, w.first, width)
     row = np.searchsorted(w.first, at, side="right") - 1
     size = np.diff(w.first)
-    keys = np.zeros((n, 2), np.uint64)
-    # whole texts are windows of their own length
-
-    for which in (0, 1):
-        power, inverse = powers(len(h) + 1, which)
-        total = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum(mix(h + np.uint64(which)) * power[: len(h)], out=total[1:])
-        keys[:, which] = mix((total[w.first[1:]] - total[w.first[:-1]]) * inverse[w.first[:-1]] + size.astype(np.uint64))
+    keys = w.keys()
     short = np.flatnonzero((size > 0) & (size < width))
-    g, row = np.concatenate([g, keys[short, 0]]), np.concatenate([row, short])
+    whole = np.array([int.from_bytes(keys[k][:8], "little") for k in short.tolist()], np.uint64)
+    g, row = np.concatenate([g, whole]), np.concatenate([row, short])
     order = np.lexsort((g, row))
     g, row = g[order], row[order]
     new = np.ones(len(g), bool)
     new[1:] = (g[1:] != g[:-1]) | (row[1:] != row[:-1])
     first = np.flatnonzero(new)
-    return g[first], row[first], np.diff(np.append(first, len(g))), [k.tobytes() for k in keys]
+    return g[first], row[first], np.diff(np.append(first, len(g))), keys
 
 
 def profiles(docs: DataFrame, weighted: bool = False) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.textbatch import Words, mix, pieces, powers, spans
+from marlstone.llm.textbatch import Words, pieces, runs, spans
 
 WIDTH = 35
 GRAM = 16
@@ -66,13 +66,9 @@ class Anchored:
         many = width - gram + 1
         row_end = np.repeat(w.first[1:], np.diff(w.first))
         at = np.arange(n)
-        power, inverse = powers(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.hash * power[:n], out=total[1:])
         g = np.full(n, FAR)
-        inside = np.flatnonzero(at + gram <= row_end)
-        g[inside] = mix((total[inside + gram] - total[inside]) * inverse[inside])
-        self.total = total
+        g[: max(0, n - gram + 1)] = runs(self.hash, gram)
+        g[at + gram > row_end] = FAR
         self.whole = at + width <= row_end
         #: Anchor of the window that starts at each word; 0 where none starts.
         self.anchor = np.where(self.whole, _slide(g, many, np.minimum, FAR)[:n], np.uint64(0))
@@ -81,14 +77,8 @@ class Anchored:
         self.grams = g[(back == g) & (g != FAR)]
 
     def window_hashes(self, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent hashes, of 64 and 32 bits, of the windows that start at the given words."""
-        n = len(self.words)
-        _, inverse = powers(n + 1)
-        a = mix((self.total[at + width] - self.total[at]) * inverse[at])
-        power, inverse = powers(n + 1, 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(mix(self.hash ^ ROWS[1]) * power[:n], out=total[1:])
-        return a, mix((total[at + width] - total[at]) * inverse[at]) >> np.uint64(32)
+        """Two independent hashes of the windows that start at the given words."""
+        return runs(self.hash, width)[at], runs(self.hash, width, 1)[at]
 
 
 def cells(h: np.ndarray, bits: int) -> list[np.ndarray]:

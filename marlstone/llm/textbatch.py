@@ -1,14 +1,16 @@
 """Vectorised views of Arrow text columns shared by the corpus operators.
 
 Words are maximal runs of bytes outside ``\\x20`` and ``\\x09``-``\\x0D`` (the
-six ASCII separators), so multi-byte UTF-8 characters never split.  All hashing
-is polynomial arithmetic modulo 2**64 over whole pieces of text, followed by a
-64-bit finaliser; nothing here loops over words in Python.
+six ASCII separators), so multi-byte UTF-8 characters never split.  Words are
+hashed eight bytes at a time and runs of words as trees of their words' hashes, with
+a 64-bit finaliser at every step: no sum of powers, which some pairs of texts
+share whatever its base.  Only words of over ``LONG`` bytes are looped over in Python.
 """
 
 from __future__ import annotations
 
 import ctypes
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +23,12 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Text bytes handled at a time; bounds the working memory of a Python worker.
 PIECE_BYTES = (2 << 20) - 1
 
-_BASE = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
+#: Longer words are hashed by BLAKE2.
+LONG = 64
+_SEEDS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_ODD = np.uint64(0xD6E8FEB86659FD93)
+#: The lowest 0 to 8 bytes of a word of memory.
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -87,35 +94,39 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A mixed 64-bit hash of each word."""
-        n = len(self.body)
-        power, inverse = powers(n + 1)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum((self.body.astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-        out = (total[self.stop] - total[self.start]) * inverse[self.start]
-        return mix(out + (self.stop - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(size: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64 and of its inverse, at least ``size`` of them; one table of each base is kept."""
-    if which not in _tables or len(_tables[which][0]) < size:
-        size = max(1 << 16, 1 << (size - 1).bit_length())
-        _tables.pop(which, None)
-        both = []
-        for b in (_BASE[which], pow(_BASE[which], -1, 1 << 64)):
-            t = np.full(size, b, dtype=np.uint64)
-            t[0] = 1
-            np.cumprod(t, out=t)
-            both.append(t)
-        _tables[which] = (both[0], both[1])
-    return _tables[which]
+        return span_hashes(self.body, self.start, self.stop - self.start)
+
+    def keys(self) -> list[bytes]:
+        """A 16-byte digest of each row's words: equal for rows of the same words, whatever lies between them."""
+        last = np.zeros(len(self) + 1, dtype=bool)
+        last[self.first] = True  # word k + 1 begins a row: word k is its row's last
+        gap = self.stop[~last[1:]]
+        body, kept = self.body.copy(), self.solid.copy()
+        body[gap], kept[gap] = 32, True
+        ends = np.concatenate([[0], np.cumsum(kept)])[self.offsets].tolist()
+        flat = memoryview(body[kept].tobytes())
+        return [hashlib.blake2b(flat[a:b], digest_size=16).digest() for a, b in zip(ends, ends[1:])]
+
+
+def span_hashes(body: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of ``size`` bytes."""
+    padded = np.concatenate([body, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(body) + 1, "<u8", padded, strides=(1,))
+    out = mix((size.astype(np.uint64) * _SEEDS[0] ^ eight[start] & _LOW[np.minimum(size, 8)]) * _ODD)
+    at, done = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(at):
+        out[at] = mix((out[at] ^ eight[start[at] + done] & _LOW[np.minimum(size[at] - done, 8)]) * _ODD + _SEEDS[1])
+        done += 8
+        at = at[size[at] > done]
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(body[start[k] : start[k] + size[k]], digest_size=8).digest(), "little")
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (bijective)."""
-    x = x ^ (x >> np.uint64(30))
+    y = x >> np.uint64(30)
+    x = np.bitwise_xor(x, y, out=y)
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
     x *= np.uint64(0x94D049BB133111EB)
@@ -123,21 +134,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def runs(hashes: np.ndarray, width: int, which: int = 0) -> np.ndarray:
+    """A hash of ``hashes[i : i + width]`` for every i at which so many are left; ``which`` picks one of two independent ones.
+
+    Runs of 1, 2, 4 and so on are hashed from two halves each, and those that make up ``width`` one after another.
+    """
+    count = max(0, len(hashes) - width + 1)
+    level, size, out, done = mix(hashes ^ _SEEDS[which]), 1, None, 0
+    while count:
+        if width & size:
+            part = level[done : done + count]
+            out = part if out is None else mix(out * _ODD + part)
+            done += size
+        if 2 * size > width:
+            break
+        level = mix(level[:-size] * _SEEDS[which] + level[size:])
+        size *= 2
+    return out if count else np.empty(0, np.uint64)
+
+
 def windows(hashes: np.ndarray, first: np.ndarray, width: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of every ``width``-word window that stays inside one row, and the index of each window's first word."""
-    n = len(hashes)
-    if n < width:
+    if len(hashes) < width:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    lengths = np.diff(first)
-    whole = np.ones(n, dtype=bool)
-    row_end = np.repeat(first[1:], lengths)
-    at = np.arange(n)
-    whole = at + width <= row_end
-    at = at[whole]
-    power, inverse = powers(n + 1, which)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(hashes * power[:n], out=total[1:])
-    return mix((total[at + width] - total[at]) * inverse[at]), at
+    at = np.flatnonzero(np.arange(len(hashes)) + width <= np.repeat(first[1:], np.diff(first)))
+    return runs(hashes, width, which)[at], at
+
+
+def dealt(shard: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """The shards in a sorted array, each with the stretch that it takes."""
+    full, start = np.unique(shard, return_index=True)
+    for s, a, b in zip(full.tolist(), start.tolist(), [*start[1:].tolist(), len(shard)]):
+        yield s, slice(a, b)
 
 
 def spans(first: np.ndarray) -> np.ndarray:
