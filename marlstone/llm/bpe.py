@@ -7,6 +7,7 @@ after another; only distinct chunks of a piece are ever encoded.
 
 from __future__ import annotations
 
+import heapq
 import json
 import os
 from functools import cached_property, lru_cache
@@ -15,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 
-from marlstone.llm.bpe_batch import BatchMerger
+from marlstone.llm.bpe_batch import BatchMerger, KnownChunks
 
 #: Text bytes encoded at a time; larger pieces hold fewer distinct chunks.
 PIECE_BYTES = 12 << 20
@@ -61,6 +62,34 @@ def _kinds() -> np.ndarray:
 _KIND = _kinds()
 
 
+def merge_symbols(symbol: list[int | None], merges: dict[tuple[int, int], tuple[int, int]]) -> tuple[list[int | None], int]:
+    """Merge the lowest-ranked adjacent pair, leftmost first, until none is left: the symbols, with ``None`` where one was merged away, and the merges made.
+
+    Symbols are a doubly linked list and pairs a heap, in which entries that no longer hold are skipped, so that time
+    grows with ``n log n``.
+    """
+    n = len(symbol)
+    before, after = [*range(-1, n - 1)], [*range(1, n + 1)]
+    heap = [(m[0], k, m[1], symbol[k], symbol[k + 1]) for k in range(n - 1) if (m := merges.get((symbol[k], symbol[k + 1])))]
+    heapq.heapify(heap)
+    merged = 0
+    while heap:
+        _, k, new, left, right = heapq.heappop(heap)
+        j = after[k]
+        if symbol[k] != left or j >= n or symbol[j] != right:
+            continue
+        symbol[k], symbol[j] = new, None
+        merged += 1
+        after[k] = nxt = after[j]
+        if nxt < n:
+            before[nxt] = k
+            if m := merges.get((new, symbol[nxt])):
+                heapq.heappush(heap, (m[0], k, m[1], new, symbol[nxt]))
+        if (p := before[k]) >= 0 and (m := merges.get((symbol[p], new))):
+            heapq.heappush(heap, (m[0], p, m[1], symbol[p], new))
+    return symbol, merged
+
+
 class Vocabulary:
     """Merge ranks and ids of a byte-level BPE file whose words carry an end suffix."""
 
@@ -73,7 +102,6 @@ class Vocabulary:
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         #: (left id, right id) -> (rank, merged id)
         self.merges = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(pairs)}
-        self.none = (1 << 60, -1)
         letters = byte_letters()
         self.inner = [self.ids[c] for c in letters]
         self.final = [self.ids[c + self.suffix] for c in letters]
@@ -105,21 +133,17 @@ class Vocabulary:
         return [*map(self.inner.__getitem__, body[:-1]), self.final[body[-1]]]
 
     def merge(self, word: str) -> list[int]:
-        """Ids of one word: the lowest-ranked adjacent pair is merged, leftmost first, until none is left."""
-        ids, merges, none = self.symbols(word), self.merges, self.none
-        while len(ids) > 1:
-            found = [merges.get(pair, none) for pair in zip(ids, ids[1:])]
-            best = min(found)
-            if best is none:
-                break
-            at = found.index(best)
-            ids[at : at + 2] = [best[1]]
-        return ids
+        """Ids of one word of any length."""
+        return [i for i in merge_symbols(self.symbols(word), self.merges)[0] if i is not None]
 
     @cached_property
     def batch(self) -> BatchMerger:
         return BatchMerger(self.merges, self.inner, self.final)
 
+    @cached_property
+    def known(self) -> KnownChunks:
+        return KnownChunks(self.encode_distinct)
+
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk, as little-endian unsigned 32-bit integers; all distinct words are merged together."""
         index: dict[str, int] = {}

@@ -8,6 +8,10 @@ without a ranked pair are done.  That is the merge order of one word after anoth
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from marlstone.llm.textbatch import raw, span_hashes
 
 #: Longer words (in bytes) are merged one by one.
 LONGEST = 40
@@ -143,3 +147,61 @@ class BatchMerger:
             rank[right, best[right]], new[right, best[right]] = self.table.find(sym[right, best[right]], sym[right, best[right] + 1])
         mask = np.arange(n) < done_len[:, None]
         return done_sym[mask].astype("<u4"), np.cumsum(done_len)
+
+
+class KnownChunks:
+    """Ids of the chunks that a worker has met, so that only new ones are encoded; bounded by ``limit`` chunks of ``LONGEST`` bytes.
+
+    ``encode`` gives, for a string array, a pool of ids, where each string's begin in it, and how many there are.
+    """
+
+    def __init__(self, encode, limit: int = 1_000_000):
+        self.encode, self.limit = encode, limit
+        self.forget()
+
+    def forget(self) -> None:
+        self.chunks = pa.array([], pa.string())
+        self.hashes, self.place = np.empty(0, np.uint64), np.empty(0, np.int64)  # sorted hashes, and the chunks that have them
+        self.pool, self.start, self.size = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def look(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``encode``, for distinct chunks."""
+        body, offsets = raw(chunks)
+        length = np.diff(offsets)
+        h = span_hashes(body, offsets[:-1], length)
+        old = np.zeros(len(chunks), bool)
+        if len(self.hashes):
+            order = np.argsort(h)  # sorted look-ups stay in the cache
+            at = np.empty(len(h), np.int64)
+            at[order] = np.minimum(np.searchsorted(self.hashes, h[order]), len(self.hashes) - 1)
+            same = np.flatnonzero(self.hashes[at] == h)
+            at = self.place[at]
+            # hashes find, but the chunks themselves decide
+            old[same] = pc.equal(chunks.take(pa.array(same)), self.chunks.take(pa.array(at[same]))).to_numpy(zero_copy_only=False)
+            if old.all():
+                return self.pool, self.start[at], self.size[at]
+        new = np.flatnonzero(~old)
+        pool, start, size = self.encode(chunks.take(pa.array(new)))
+        begin, many = np.empty(len(chunks), np.int64), np.empty(len(chunks), np.int64)
+        if old.any():
+            begin[old], many[old] = self.start[at[old]], self.size[at[old]]
+        begin[new], many[new] = start + len(self.pool), size
+        out = np.concatenate([self.pool, pool])
+        if len(self.chunks) + len(new) > self.limit:
+            self.forget()
+        fresh, which = np.unique(h[new], return_index=True)
+        spot = np.searchsorted(self.hashes, fresh)
+        taken = self.hashes[np.minimum(spot, len(self.hashes) - 1)] == fresh if len(self.hashes) else np.zeros(len(fresh), bool)
+        able = np.flatnonzero(~taken & (length[new[which]] <= LONGEST))
+        if len(able) and len(able) <= self.limit:
+            which, fresh = which[able], fresh[able]
+            spot = np.searchsorted(self.hashes, fresh)
+            self.place = np.insert(self.place, spot, len(self.chunks) + np.arange(len(able)))
+            self.hashes = np.insert(self.hashes, spot, fresh)
+            each = size[which]
+            ends = np.cumsum(each)
+            self.chunks = pa.concat_arrays([self.chunks, chunks.take(pa.array(new[which]))])
+            self.start = np.concatenate([self.start, ends - each + len(self.pool)])
+            self.size = np.concatenate([self.size, each])
+            self.pool = np.concatenate([self.pool, pool[np.repeat(start[which] - (ends - each), each) + np.arange(ends[-1])]])
+        return out, begin, many

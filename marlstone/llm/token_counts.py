@@ -11,7 +11,6 @@ as they come; a null ``doc_id`` stays null; other columns are ignored.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,30 +26,8 @@ _memo: dict[str, tuple[bpe.Recent, bpe.Recent]] = {}
 
 def count_word(vocab: bpe.Vocabulary, word: str) -> int:
     """Tokens of one word: initial symbols less merges."""
-    symbol: list[int | None] = list(vocab.symbols(word))
-    n = len(symbol)
-    if n < 2:
-        return n
-    before, after = [*range(-1, n - 1)], [*range(1, n + 1)]
-    merges = vocab.merges
-    heap = [(m[0], k, m[1], symbol[k], symbol[k + 1]) for k in range(n - 1) if (m := merges.get((symbol[k], symbol[k + 1])))]
-    heapq.heapify(heap)
-    merged = 0
-    while heap:
-        _, k, new, left, right = heapq.heappop(heap)
-        j = after[k]
-        if symbol[k] != left or j >= n or symbol[j] != right:
-            continue
-        symbol[k], symbol[j] = new, None
-        merged += 1
-        after[k] = nxt = after[j]
-        if nxt < n:
-            before[nxt] = k
-            if m := merges.get((new, symbol[nxt])):
-                heapq.heappush(heap, (m[0], k, m[1], new, symbol[nxt]))
-        if (p := before[k]) >= 0 and (m := merges.get((symbol[p], new))):
-            heapq.heappush(heap, (m[0], p, m[1], symbol[p], new))
-    return n - merged
+    symbols = vocab.symbols(word)
+    return len(symbols) - bpe.merge_symbols(symbols, vocab.merges)[1]
 
 
 def count_chunk(vocab: bpe.Vocabulary, memo: tuple[bpe.Recent, bpe.Recent], chunk: str) -> int:

@@ -7,8 +7,8 @@ again.  Blocks are cut by number of ids only, so a long document spans several;
 Files are written by the tasks of a range-partitioned, sorted stage straight into the shared folder, under a name
 of the attempt's own; only the files that the finished attempts report are read, so a lost or repeated task does no harm.
 
-Ids are those of the ``tokenizers`` library; distinct chunks of a piece are merged together (see ``bpe_batch``), which the tests hold
-against the library.
+Ids are those of the ``tokenizers`` library; distinct chunks of a piece that the worker hasn't met before are merged together (see
+``bpe_batch``), which the tests hold against the library.
 
 Defined results: a null or empty text has the end id alone; null document ids come first; equal ids follow one
 another by text, each with a start of its own; other columns are ignored; an empty table gives no rows.
@@ -38,7 +38,7 @@ def token_ids(texts: pa.Array, path: str, end_id: int | None) -> tuple[np.ndarra
     """All ids of the rows, one row after another, and each row's number of ids; each distinct chunk is encoded once."""
     words = Words(texts)
     coded = words.array().dictionary_encode()
-    pool, start, size = bpe.vocabulary(path).encode_distinct(coded.dictionary)
+    pool, start, size = bpe.vocabulary(path).known.look(coded.dictionary)
     if end_id is not None:
         pool = np.append(pool, np.uint32(end_id))
     start, size = np.append(start, len(pool) - 1), np.append(size, end_id is not None)

@@ -13,14 +13,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.llm import bpe, langid, mixcoder
+from marlstone.llm.bpe_batch import KnownChunks
 from marlstone.llm.components import components
 from marlstone.llm.crosspolytope import nearest
 from marlstone.llm.dartminhash import signatures
 from marlstone.llm.decontaminate import decontaminate, distance
 from marlstone.llm.langid import identify_languages
-from marlstone.llm.lmscore import score_documents
+from marlstone.llm.lmscore import MERGES, lowered, score_documents, subwords
 from marlstone.llm.neardup import near_duplicates
 from marlstone.llm.substrings import substring_dedup
+from marlstone.llm.textbatch import Words, runs
 from marlstone.llm.token_counts import count_word, token_counts
 from marlstone.llm.token_files import token_files
 from marlstone.llm.toxicity import decide_texts, fit, toxicity
@@ -91,6 +93,66 @@ def test_heap_and_list_merging_agree(words):
         assert count_word(v, w) == len(v.merge(w))
 
 
+def test_words_of_any_length(words):
+    rng = random.Random(21)
+    v = bpe.vocabulary(bpe.default_path())
+    tok = bpe.library(v.path)
+    for word in ("".join(rng.choice("abcdefghijklmnop") for _ in range(100_000)), "漢字かな" * 8000, "ab" * 50_000):
+        ids = tok.encode(word, add_special_tokens=False).ids
+        assert np.frombuffer(v.encode_chunks([word])[0], "<u4").tolist() == ids
+        assert sum(count_word(v, p) if isinstance(p, str) else 1 for p in v.parts(word)) == len(ids)
+        one = Words(lowered(pa.array([word])))
+        assert len(subwords(v.path, MERGES).texts(one)[0]) > 1
+
+
+def test_chunks_met_before_have_the_same_ids(words):
+    v = bpe.vocabulary(bpe.default_path())
+    rng = random.Random(22)
+    memo = KnownChunks(v.encode_distinct, limit=150)
+    for _ in range(12):
+        some = list(dict.fromkeys([*rng.sample(words, 60), rng.choice(ODD), "y" * 70]))
+        pool, start, size = memo.look(pa.array(some))
+        assert [pool[a : a + n].tobytes() for a, n in zip(start.tolist(), size.tolist())] == v.encode_chunks(some)
+        assert len(memo.chunks) <= 150
+
+
+def thue_morse(n):
+    return [bin(k).count("1") & 1 for k in range(n)]
+
+
+def test_hashes_tell_thue_morse_words_and_runs_apart():
+    one = "".join("ab"[b] for b in thue_morse(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    for n in (40, 64, 1024):
+        h = Words(pa.array([f"{one[:n]} {other[:n]}"])).hashes()
+        assert h[0] != h[1]
+    w = Words(pa.array([" ".join(one), " ".join(other)]))
+    for n in (32, 35, 1024):
+        for which in (0, 1):
+            r = runs(w.hashes(), n, which)
+            assert r[0] != r[1024]
+    assert len(set(w.keys())) == 2 and Words(pa.array(["a  b\n", "a b", None, ""])).keys()[0] == w.__class__(pa.array([" a b"])).keys()[0]
+
+
+def test_different_texts_of_colliding_words_stay_apart(spark):
+    one = "".join("ab"[b] for b in thue_morse(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, " ".join([one] * 35)), (2, " ".join([other] * 35)), (3, " ".join(one)), (4, " ".join(other))], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in substring_dedup(df.where("doc_id < 3")).collect()} == {1: 0, 2: 0}
+    assert {r.doc_id: r.class_id for r in near_duplicates(df.where("doc_id < 3")).collect()} == {1: 1, 2: 2}
+
+
+def test_runs_are_windows():
+    rng = np.random.default_rng(3)
+    h = rng.integers(0, 1 << 63, 200).astype(np.uint64)
+    h[100:150] = h[20:70]
+    for width in (1, 2, 3, 16, 35):
+        r = runs(h, width)
+        assert len(r) == 200 - width + 1
+        same = {(i, j) for i in range(len(r)) for j in range(i) if r[i] == r[j]}
+        assert same == {(i, j) for i in range(len(r)) for j in range(i) if (h[i : i + width] == h[j : j + width]).all()}
+
+
 def test_transducer_knows_its_words_and_no_others(words):
     data = compile_lexicon({w: [i, i + 1] for i, w in enumerate(words)})
     lex = Lexicon(data)
