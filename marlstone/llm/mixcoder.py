@@ -21,8 +21,8 @@ import zlib
 
 import numpy as np
 
-LANES = 8192
-BLOCK_IDS = 1 << 20
+LANES = 16384
+BLOCK_IDS = 1 << 21
 #: All intervals lie in 0..SCALE; order 0 leaves every id a width of 2 at least, at the largest block and share.
 SCALE = float(1 << 28)
 SLOT_BITS = 16
@@ -33,13 +33,13 @@ FULL, SMALL, DIGIT = float(1 << 48), float(1 << 32), float(1 << 16)
 class Model:
     """Shared adaptive state of one block.
 
-    Numbers are whole and below 2**53, held as float64, which is exact and lets numpy use wide instructions.
+    Numbers are eighths below 2**50, held as float64, which is exact and lets numpy use wide instructions.
     """
 
     def __init__(self, n_ids: int, lanes: int):
         self.n_ids = n_ids
-        self.count = np.ones(n_ids)
-        self.cum = np.arange(n_ids + 1, dtype=np.float64)
+        self.count = np.full(n_ids, 0.125)  # an id that was seen weighs eight times as much
+        self.cum = np.arange(n_ids + 1) * 0.125
         self.guess = [np.zeros(1 << SLOT_BITS, np.int32) for _ in range(2)]
         self.sure = [np.zeros(1 << SLOT_BITS, np.int8) for _ in range(2)]
         self.hits = [np.full(LEVELS, 0.2) for _ in range(2)]
@@ -52,7 +52,7 @@ class Model:
         top = (1 << SLOT_BITS) - 1
         self.slot = [(a * 0x9E3779B1 >> 7) & top, ((a * 0x85EBCA77 + b * 0xC2B2AE3D) >> 9) & top]
         self.ids = [g[s] for g, s in zip(self.guess, self.slot)]
-        self.level = [c[s] for c, s in zip(self.sure, self.slot)]
+        self.level = [c[s].astype(np.intp) for c, s in zip(self.sure, self.slot)]
         self.share = []
         for hits, seen, level, part in zip(self.hits, self.seen, self.level, (0.35, 0.6)):
             # a slot without confidence gets nothing; all shares together leave order 0 at least a twentieth
@@ -96,23 +96,23 @@ class Model:
     def update(self, x: np.ndarray) -> None:
         live = len(x)
         for k in range(2):
-            slot, level, guess, sure = self.slot[k], self.level[k], self.guess[k], self.sure[k]
-            hit = self.ids[k] == x
-            self.hits[k] = self.hits[k] * 0.98 + np.bincount(level[hit], minlength=LEVELS)
-            self.seen[k] = self.seen[k] * 0.98 + np.bincount(level, minlength=LEVELS)
-            fresh = ~hit & (level <= 1)
-            sure[slot] = np.where(hit, STEP_UP[level], STEP_DOWN[level])  # where lanes share a slot, the last one stays
-            guess[slot] = np.where(fresh, x, self.ids[k])
-        self.count += np.bincount(x, minlength=self.n_ids) * 8
+            slot = self.slot[k]
+            state = self.level[k] + (self.ids[k] == x) * LEVELS
+            times = np.bincount(state, minlength=2 * LEVELS)
+            self.hits[k] = self.hits[k] * 0.98 + times[LEVELS:]
+            self.seen[k] = self.seen[k] * 0.98 + times[:LEVELS] + times[LEVELS:]
+            self.sure[k][slot] = STEP[state]  # where lanes share a slot, the last one stays
+            fresh = np.flatnonzero(state <= 1)
+            self.guess[k][slot[fresh]] = x[fresh]
+        self.count += np.bincount(x, minlength=self.n_ids)
         np.cumsum(self.count, out=self.cum[1:])
         self.last[1, :live] = self.last[0, :live]
         self.last[0, :live] = x
 
 
-#: Confidence after a hit, and after a miss; a miss at 0 or 1 puts a new guess in the slot, at 1.
-STEP_UP = np.minimum(np.arange(LEVELS) + 1, LEVELS - 1).astype(np.int8)
-STEP_DOWN = np.maximum(np.arange(LEVELS) - 2, 0).astype(np.int8)
-STEP_DOWN[:2] = 1
+#: Confidence after a miss, then after a hit, by confidence; a miss at 0 or 1 puts a new guess in the slot, at 1.
+STEP = np.concatenate([np.maximum(np.arange(LEVELS) - 2, 0), np.minimum(np.arange(LEVELS) + 1, LEVELS - 1)]).astype(np.int8)
+STEP[:2] = 1
 
 
 def _layout(n: int) -> tuple[int, int, np.ndarray]:
