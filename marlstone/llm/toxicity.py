@@ -5,18 +5,20 @@ each occupies; divided by the root of the self-kernels it lies between 0 and 1.
 but don't break it.  A linear squared-hinge SVM is trained on Nyström features of words: landmarks are the insults found
 and a sample of clean words.  As a Nyström machine is a weighted sum of kernels with its landmarks, and the kernel is an
 inner product of subsequence weights, the sum over landmarks is folded into one weight per subsequence; a word then costs
-one look-up per subsequence, with exactly the same result.  A document scores as its worst word.
+one look-up per subsequence, with exactly the same result.  A text scores as its worst word.
 
-Training sentences: labels are per document, so the words that make sentences toxic are found first: words that follow
-different words in toxic documents and whose rate in clean ones is far lower (a mislabelled or quoting clean text doesn't clear a word).  (Different predecessors, since copies of one
-toxic document repeat all its words, but with the same neighbours.)  Variants with characters put in are added, and clean words
-that the machine gets wrong are added to its training until it gets them right.
+Training on labelled sentences (multiple instances).  A toxic sentence is one that holds an insult, which its label doesn't point out, and a clean
+one holds none.  So the words whose rate among toxic sentences exceeds that among clean ones by more than chance are trained by the
+labels of all sentences that hold them: as insults by the toxic share, as harmless by the clean one, so that wrong labels and
+quotations weigh no more than they should.  All other words are harmless, in whichever sentences.  An insult follows several
+different words in toxic sentences, since copies of one sentence repeat all its words, but with the same neighbours.
+Variants with characters put in are added, and harmless words that the machine gets wrong are added to its training until it gets them right.
 
-Training uses a bounded sample of labelled rows (``SAMPLE`` of each label).
+Training uses a bounded sample of labelled rows (``SAMPLE`` of each label, texts of at most ``SAMPLE_BYTES``).
 
 Defined results: null and empty texts score as the machine's lowest (near 0); with no usable labels every score is 0;
-a ``doc_id`` labelled both ways counts as toxic; null labels are left out; repeated rows repeat; a null ``doc_id`` has no
-label; other columns are ignored.
+a ``doc_id`` labelled both ways counts as toxic, and of several texts of one id the one with the least hash is learned from; null labels are left
+out; repeated rows repeat; a null ``doc_id`` has no label; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,15 +37,15 @@ from marlstone.llm.bpe import PIECE_BYTES, Recent
 from marlstone.llm.langid import remainder
 from marlstone.llm.textbatch import Words, pieces
 
-SAMPLE = 4000
-#: An insult's rate in clean texts, as a share of that in toxic ones, is at most this.
-TOLERANCE = 0.1
+SAMPLE, SAMPLE_BYTES = 4000, 1 << 16
+#: An insult's rate in clean texts, as a share of that in toxic ones, is at most this, or twice that of the most telling words if labels are noisy.
+TOLERANCE, SUREST = 0.05, 10
 #: Different words that an insult need follow at most, however large the sample; near copies give a word a few.
 CONTEXTS = 16
 DECAY = 0.6
 SYMBOLS = 48
 #: Shorter words are never insults.
-SHORTEST = 4
+SHORTEST = 3
 #: Longer words are read in windows of this many characters, half overlapping, so that all of a word counts.
 WINDOW = 20
 LANDMARKS = 300
@@ -189,25 +191,34 @@ def disguised(word: str, rng: np.random.Generator) -> list[str]:
     return out
 
 
+def folded(marks: list[str], alpha: np.ndarray) -> Machine:
+    """The machine whose decision is the sum of a word's kernels with the landmarks, times ``alpha``."""
+    weight = np.zeros(SYMBOLS**3)
+    for at, block in by_length(marks):
+        codes, tw, norm = subsequences(block)
+        for k, c, n in zip(at.tolist(), codes, norm):
+            np.add.at(weight, c, alpha[k] * tw / n)
+    return Machine(weight)
+
+
 def telling(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, words: list[str]) -> set[str]:
-    """Of ``words``, those whose rate in clean texts is at most ``TOLERANCE`` of that in toxic ones, by more than chance would bring about in one of them all."""
-    share, out = n_toxic / max(1, n_toxic + n_clean), set()
+    """Of ``words``, those that are in clean texts far more rarely than in toxic ones, by more than chance would bring about in one of them all."""
+    share, found = n_toxic / max(1, n_toxic + n_clean), []
     for w in words:
         t, c = toxic[w], clean[w]
-        if c * n_toxic <= TOLERANCE * t * n_clean:
+        if c * n_toxic < t * n_clean:
             n = t + c
             # Chernoff's bound on t or more of the n texts being toxic
             excess = t * np.log(t / n / share) + (c * np.log(c / n / (1 - share)) if c else 0.0)
             if excess > np.log(len(words)):
-                out.add(w)
-    return out
+                found.append((-excess, w, c * n_toxic / (t * n_clean)))
+    found.sort()
+    noise = float(np.median([r for *_, r in found[:SUREST]])) if found else 0.0
+    return {w for _, w, r in found if r <= max(TOLERANCE, 2 * noise)}
 
 
 def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, contexts: float = 0.01, mined: int = 7) -> Machine | None:
-    """Train on whole texts of both labels; an insult follows ``CONTEXTS`` different words and is ``telling``.
-
-    Words that no clean text holds need follow only ``contexts`` times the toxic texts, if that is less, and 3 at least.
-    """
+    """Train on whole texts of both labels; an insult follows ``CONTEXTS`` different words, or ``contexts`` times the toxic texts if that is less, and 3 at least."""
     contexts = min(CONTEXTS, max(3, round(contexts * len(toxic))))
     after: dict[str, set[str]] = defaultdict(set)
     for text in toxic:
@@ -215,46 +226,39 @@ def fit(toxic: list[str], clean: list[str], landmarks: int = LANDMARKS, contexts
         for a, b in zip(["", *words], words):
             if len(after[b]) < CONTEXTS:
                 after[b].add(a)
-    foul, fair = (Counter(w for text in set(texts) for w in {trim(w) for w in text.split()}) for texts in (toxic, clean))
-    able = [w for w, a in after.items() if len(a) >= contexts and len(w) >= SHORTEST]
-    apart = telling(foul, fair, len(set(toxic)), len(set(clean)), [w for w in able if len(after[w]) >= CONTEXTS])
-    insults = sorted(w for w in able if w not in fair or w in apart)
-    for w in insults:
-        fair.pop(w, None)
-    pool = sorted(w for w in fair if len(w) >= SHORTEST)
-    if not insults or not pool:
+    n_toxic, n_clean = len(set(toxic)), len(set(clean))
+    foul, fair = (Counter(w for text in set(texts) for w in {trim(w) for w in text.split()} if len(w) >= SHORTEST) for texts in (toxic, clean))
+    insults = sorted(telling(foul, fair, n_toxic, n_clean, sorted(w for w in foul if len(after[w]) >= contexts)))
+    harmless = Counter({w: n for w, n in fair.items() if w not in insults})
+    if not insults or not harmless:
         return None
-    rng = np.random.default_rng(7)
-    common = [w for w, _ in sorted(fair.items(), key=lambda x: (-x[1], x[0])) if len(w) >= SHORTEST][:1500]
+    # the labels of the sentences that hold an insult, as shares
+    share = {w: foul[w] / n_toxic / (foul[w] / n_toxic + fair[w] / n_clean) for w in insults}
+    rng, pool = np.random.default_rng(7), sorted(harmless)
+    common = [w for w, _ in sorted(harmless.items(), key=lambda x: (-x[1], x[0]))][:1500]
     negative = list(dict.fromkeys([*common, *rng.choice(pool, min(len(pool), 3000), replace=False).tolist()]))
     positive = list(dict.fromkeys([*insults, *(d for w in insults for d in disguised(w, rng))]))
-    third = landmarks // 3
+    quoted = [w for w in insults if fair[w]]
+    third, machine = landmarks // 3, None
     marks = [*spread(insults, third), *spread(negative[:2000], third)]
-    machine = None
     for turn in range(mined):
-        if turn == 1:  # the clean words that are hardest to tell from insults become landmarks too
+        if turn == 1:  # the harmless words that are hardest to tell from insults become landmarks too
             marks += spread(hard, third)
         if turn < 2:
             values, vectors = np.linalg.eigh(kernel(marks, marks).astype(np.float64))
             good = values > 1e-4 * values.max()
             root = vectors[:, good] / np.sqrt(values[good])
             features = lambda words: kernel(words, marks) @ root  # noqa: B023, E731
-            zp, zn = features(positive), features(negative)
+            zp, zq, zn = features(positive), features(quoted), features(negative)
         else:
             zn = np.vstack([zn, features(more)])
-        y = np.concatenate([np.ones(len(zp)), -np.ones(len(zn))])
-        plain = np.concatenate([np.arange(len(zp)) < len(insults), np.zeros(len(zn), bool)])
-        w = solve(np.vstack([zp, zn]), y, np.where(plain, 20.0, 1.0), 1e-6)
-        weight, alpha = np.zeros(SYMBOLS**3), root @ w
-        for at, block in by_length(marks):
-            codes, tw, norm = subsequences(block)
-            for k, c, n in zip(at.tolist(), codes, norm):
-                np.add.at(weight, c, alpha[k] * tw / n)
-        machine = Machine(weight)
-        value = machine.decide(pool)
-        nearest = np.argsort(-value, kind="stable")[:30000]
+        y = np.concatenate([np.ones(len(zp)), -np.ones(len(zq) + len(zn))])
+        cost = np.concatenate([[20.0 * share[w] if w in share else 1.0 for w in positive], [20.0 * (1 - share[w]) for w in quoted], np.ones(len(zn))])
+        machine = folded(marks, root @ solve(np.vstack([zp, zq, zn]), y, cost, 1e-6))
+        decided = machine.decide(pool)
+        nearest = np.argsort(-decided, kind="stable")[:30000]
         known = set(negative)
-        more = [pool[k] for k in nearest[:5000].tolist() if value[k] > -0.6 and pool[k] not in known]
+        more = [pool[k] for k in nearest[:5000].tolist() if decided[k] > -0.6 and pool[k] not in known]
         hard = [pool[k] for k in nearest[:1500].tolist()]
         pool = [pool[k] for k in nearest.tolist()]  # the rest is far away, and further training moves little
         negative += more
@@ -303,8 +307,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     draw = F.pmod(F.xxhash64("id", F.lit("toxicity sample")), F.lit(1 << 30))
     share = lambda y: min(1 << 30, int(sample / max(1, counts.get(y, 0)) * (1 << 30)) + 1)
     drawn = known.where(draw < F.when(F.col("y") == 1, share(1)).otherwise(share(0))).where(F.col("y").isin(0, 1)).orderBy(draw, "id").limit(2 * sample + 1000)
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where(F.col("text").isNotNull())
-    found = rows.join(F.broadcast(drawn), "id").dropDuplicates(["id"]).orderBy("id").select("text", "y")  # ids are drawn once, so this is bounded
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where(F.octet_length(docs[text_col]) <= SAMPLE_BYTES)
+    # a text per id drawn, so this is bounded
+    found = rows.join(F.broadcast(drawn), "id").groupBy("id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).orderBy("id").select("text", "y")
     out: tuple[list[str], list[str]] = ([], [])
     for r in found.toLocalIterator():
         out[r.y].append(r.text)

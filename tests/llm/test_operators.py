@@ -1,6 +1,7 @@
 """Small tables with nulls, empty and long texts, ties, repeated rows and clashing columns, against brute force."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -13,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.llm import bpe, langid, mixcoder
+from marlstone.llm import toxicity as toxicity_module
 from marlstone.llm.bpe_batch import KnownChunks
 from marlstone.llm.components import components
 from marlstone.llm.crosspolytope import nearest
@@ -25,7 +27,7 @@ from marlstone.llm.substrings import substring_dedup
 from marlstone.llm.textbatch import Words, runs
 from marlstone.llm.token_counts import count_word, token_counts
 from marlstone.llm.token_files import token_files
-from marlstone.llm.toxicity import decide_texts, fit, toxicity
+from marlstone.llm.toxicity import decide_texts, fit, folded, kernel, toxicity
 from marlstone.llm.transducer import Lexicon, bpe_round_trip, compile_lexicon
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -344,6 +346,54 @@ def test_toxicity_learns_insults_that_a_clean_text_quotes(words):
     assert (machine.decide(["vilezzqux", "grubzzwok"]) > 0).all()
 
 
+@pytest.mark.parametrize("flips", [1, 12])
+def test_toxicity_learns_from_noisy_labels(words, flips):
+    rng = random.Random(4)
+    docs, labels = [], []
+    for i in range(300):
+        w = rng.choices(words, k=40)
+        if i % 3 == 0:
+            w.insert(rng.randrange(40), rng.choice(["nastyfool", "horridpig"]))
+        docs.append(" ".join(w))
+        labels.append(i % 3 == 0)
+    learn = [i for i in range(300) if i % 5]
+    noisy = list(labels)
+    for y in (True, False):
+        for i in rng.sample([i for i in learn if labels[i] == y], flips):
+            noisy[i] = not y
+    machine = fit([docs[i] for i in learn if noisy[i]], [docs[i] for i in learn if not noisy[i]])
+    value = decide_texts(machine, pa.array(docs))
+    assert [v > 0 for v in value[::5]] == labels[::5]
+
+
+def test_folded_machine_is_the_sum_of_kernels(words):
+    rng = np.random.default_rng(7)
+    marks, alpha = words[:40], rng.standard_normal(40)
+    some = [w for w in words[40:] if len(w) >= toxicity_module.SHORTEST]
+    assert np.allclose(folded(marks, alpha).decide(some), kernel(some, marks) @ alpha + toxicity_module.BIAS, atol=1e-4)
+
+    def plain(a, b):
+        def weights(w):
+            s, out = [0, *map(toxicity_module.symbol, w), 0], Counter()
+            for i, j, k in itertools.combinations(range(len(s)), 3):
+                out[s[i], s[j], s[k]] += toxicity_module.DECAY ** (k - i + 1)
+            return out
+
+        x, y = weights(a), weights(b)
+        return sum(v * y[t] for t, v in x.items()) / math.sqrt(sum(v * v for v in x.values()) * sum(v * v for v in y.values()))
+
+    got = kernel(some[:12], some[5:15])
+    assert np.allclose(got, [[plain(a, b) for b in some[5:15]] for a in some[:12]], atol=1e-5)
+
+
+def test_toxicity_of_repeated_ids_is_the_same_in_any_order(spark, words):
+    rng = random.Random(17)
+    rows = [(i % 60, " ".join(rng.choices(words, k=15) + (["nastyfool", rng.choice(words)] if i % 2 else []))) for i in range(180)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    runs_ = [sorted((r.doc_id, r.score) for r in toxicity(spark.createDataFrame(x, "doc_id long, text string").repartition(n), labels).collect()) for x, n in ((rows, 3), (rows[::-1], 5))]
+    assert all(a[0] == b[0] and abs(a[1] - b[1]) < 1e-9 for a, b in zip(*runs_))
+
+
 def test_spelt_insults_count_for_their_own_row(words):
     rng = random.Random(15)
     say = lambda *more: " ".join([*rng.choices(words, k=20), *more, rng.choice(words)])
