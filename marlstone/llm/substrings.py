@@ -10,7 +10,7 @@ Pass 2 groups.  Windows estimated repeated are dealt out by their anchor, and gr
 that meet an equal within a piece are settled on the spot and sent once for all, so however common a passage is, a
 piece sends it once.  Repeats come back as stretches of words, keyed by the MD5 of the text, and are joined with the documents.
 
-Equality is that of 64-bit word hashes and 96-bit window hashes.
+Equality is that of 64-bit word hashes and 96-bit window hashes, which no sum of powers enters (see ``textbatch``).
 
 Defined results: a null or empty text has no words, none removed, and the digest of the empty string; windows never
 span two documents; a repeated row repeats all of its windows; a null ``doc_id`` stays null; other columns are ignored
@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.textbatch import Words, pieces, runs, spans
+from marlstone.llm.shared import written
+from marlstone.llm.textbatch import Words, dealt, pieces, runs, spans
 
 WIDTH = 35
 GRAM = 16
@@ -96,10 +97,9 @@ def repeated_cells(docs: DataFrame, bits: int, width: int) -> list[np.ndarray]:
             h = np.concatenate(held)
             for r, c in enumerate(cells(h, bits)):
                 cell, n = np.unique(c, return_counts=True)
-                cut = np.searchsorted(cell, np.arange(SLICES + 1) * size)
                 local = (cell % size).astype(np.uint32) * 2 + (n > 1)
-                full = np.flatnonzero(np.diff(cut))
-                yield pa.RecordBatch.from_arrays([pa.array(full + r * SLICES), pa.array([local[cut[s] : cut[s + 1]].astype("<u4").tobytes() for s in full], pa.binary())], ["slice", "cells"])
+                cut = list(dealt(cell // size))
+                yield pa.RecordBatch.from_arrays([pa.array([s + r * SLICES for s, _ in cut], pa.int64()), pa.array([local[p].astype("<u4").tobytes() for _, p in cut], pa.binary())], ["slice", "cells"])
 
         for b in pieces(batches):
             if len(g := Anchored(b.column("text"), width).grams):
@@ -183,23 +183,22 @@ def repeats(docs: DataFrame, bits: int, sketch: list[np.ndarray], width: int, sh
 
             settled = many[group]
             found = list(_stretches(row_of[settled], place[settled], width))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(digest(k)[:4], "little") % shards for k, _ in found], pa.int64()), pa.array([True] * len(found)), pa.array([digest(k) for k, _ in found], pa.binary()), pa.array([d for _, d in found], pa.binary())], out_of)
+            if found:  # these only pass through, and any shard will do
+                yield pa.RecordBatch.from_arrays([pa.array([(int(x[0]) + k) % shards for k, _ in found], pa.int64()), pa.array([True] * len(found)), pa.array([digest(k) for k, _ in found], pa.binary()), pa.array([d for _, d in found], pa.binary())], out_of)
             first = np.flatnonzero(new)
             shard = (w.anchor[at[first]] * ROWS[0] % np.uint64(shards)).astype(np.int64)
             deal = np.argsort(shard, kind="stable")
             first, shard = first[deal], shard[deal]
-            cut = np.searchsorted(shard, np.arange(shards + 1))
-            names, sent = [], []
-            full = np.flatnonzero(np.diff(cut))
-            for s in full:
-                f = first[cut[s] : cut[s + 1]]
+            full, names, sent = [], [], []
+            for s, p in dealt(shard):
+                f = first[p]
+                full.append(s)
                 rows, doc = np.unique(row_of[f], return_inverse=True)
                 r = np.empty(len(f), RECORD)
                 r["a"], r["b"], r["doc"], r["at"] = x[f], y[f], doc, place[f].astype(np.uint32) | KNOWN * many[group[f]]
                 names.append(b"".join(digest(k) for k in rows.tolist()))
                 sent.append(r.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(full), pa.array([False] * len(full)), pa.array(names, pa.binary()), pa.array(sent, pa.binary())], out_of)
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([False] * len(full)), pa.array(names, pa.binary()), pa.array(sent, pa.binary())], out_of)
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, records, base = [], [], 0
@@ -271,21 +270,22 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = text_only.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(MAX_BITS, max(MIN_BITS, int(size // 16).bit_length()))
     found = repeats(text_only, bits, repeated_cells(text_only, bits, width), width, max(16, int(size // SHARD_BYTES)))
-    per_text = found.groupBy("md5").agg(F.collect_set("stretches").alias("__stretches"))
+    # written first, so that the documents lie under the join as they were shuffled, and copies of one text are split there if there are very many
+    per_text = written(found.groupBy("md5").agg(F.collect_set("stretches").alias("stretches")), "stretches")
     kept = [c for c in keep if c not in {*outputs, "doc_id"}]
-    src = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("__text"), *(docs[c] for c in kept))
-    src = src.withColumn("__md5", F.unhex(F.md5(F.col("__text").cast("binary"))))
-    both = src.join(per_text, src["__md5"] == per_text["md5"], "left").drop("__md5", "md5")
+    # kept columns go by number until the end, so that none clashes
+    src = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), *(docs[c].alias(f"kept{k}") for k, c in enumerate(kept)))
+    both = src.withColumn("md5", F.unhex(F.md5(F.col("text").cast("binary")))).join(per_text, "md5", "left").drop("md5")
     kinds = {"n_words": "long", "n_removed": "long", "kept": "string", "kept_sha256": "string"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in pieces(batches, "__text"):
-            left, n, removed = strip(b.column("__text"), b.column("__stretches"))
+        for b in pieces(batches):
+            left, n, removed = strip(b.column("text"), b.column("stretches"))
             made = {
                 "n_words": lambda: pa.array(n), "n_removed": lambda: pa.array(removed), "kept": lambda: pa.array(left, pa.binary()).cast(pa.string()),
                 "kept_sha256": lambda: pa.array([hashlib.sha256(x).hexdigest() for x in left], pa.string()),
             }
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(b.column(c) for c in kept), *(made[c]() for c in outputs)], ["doc_id", *kept, *outputs])
+            yield pa.RecordBatch.from_arrays([b.column("id"), *(b.column(f"kept{k}") for k in range(len(kept))), *(made[c]() for c in outputs)], ["doc_id", *kept, *outputs])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if not f.name.startswith("__")]
+    fields = [f"`{c}` {src.schema[name].dataType.simpleString()}" for c, name in [("doc_id", "id"), *((c, f"kept{k}") for k, c in enumerate(kept))]]
     return both.mapInArrow(run, ", ".join([*fields, *(f"{c} {kinds[c]}" for c in outputs)]))
