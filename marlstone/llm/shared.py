@@ -33,6 +33,28 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables in the shared folder that are needed until the block ends, and deleted then: what is returned must not read them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, what: str) -> DataFrame:
+        path = shared_path(self.spark, what)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *_) -> None:
+        conf = self.spark._jsparkSession.sessionState().newHadoopConf()
+        for path in self.paths:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` computed once into the checkpoint folder that executors share, dealt out as it was."""
     context = df.sparkSession.sparkContext
