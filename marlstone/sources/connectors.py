@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marlstone.sources.files import FileSource, SourceError, normalise_result, read
@@ -35,9 +36,11 @@ class Files:
 
 @dataclass(frozen=True)
 class Jdbc:
-    """A database by JDBC: columns, filters, aggregates and limits are pushed down by Spark's own source.
+    """A database by JDBC: columns and filters are pushed down by Spark's own source, and with the options ``partitionColumn``,
+    ``lowerBound``, ``upperBound`` and ``numPartitions`` it is read in parts.
 
-    Text predicates stay local unless ``push_text`` is set, since collations differ.
+    Text predicates stay local unless ``push_text`` is set, since collations differ: text columns are read through a function that no
+    source takes, while all other filters go to the database.
     """
 
     prefix: str
@@ -50,7 +53,12 @@ class Jdbc:
 
     def table(self, spark: SparkSession, options: Mapping[str, str], name: str) -> DataFrame:
         extra = {k: v for k, v in options.items() if k not in ("url", "dbtable", "driver")}
-        return spark.read.format("jdbc").options(**extra, url=options["url"], dbtable=name, driver=self.driver, pushDownPredicate=str(self.push_text).lower()).load()
+        return self.guarded(spark.read.format("jdbc").options(**extra, url=options["url"], dbtable=name, driver=self.driver).load())
+
+    def guarded(self, df: DataFrame) -> DataFrame:
+        if self.push_text:
+            return df
+        return df.select(*(F.substring(f.name, 1, 1 << 30).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in df.schema))
 
 
 class Registry:
