@@ -87,17 +87,23 @@ def exact_distinct(x: Column, limit: int = 1_000_000) -> Column:
     return F.when(n <= limit, n).otherwise(F.raise_error(F.lit("too many distinct values")).cast("bigint"))
 
 
-def snapshot_balance(value: Column, time: Column, tie: Column) -> Column:
-    """The value at the greatest (time, tie); differing values there fail, as does a null time or tie.
-
-    Two maxima see the latest pair from both ends: one prefers values and large ones, the other nulls and small ones.
-    """
+def latest(value: Column, time: Column, tie: Column) -> tuple[Column, Column]:
+    """Aggregates that see the latest (time, tie) from both ends: one prefers values and large ones, the other nulls and small ones; a null time or tie fails."""
     sound = F.when(time.isNotNull() & tie.isNotNull(), time).otherwise(F.raise_error(F.lit("null snapshot time")).cast("timestamp"))
     high = F.max(F.struct(sound.alias("t"), tie.alias("k"), value.isNotNull().alias("p"), value.alias("v")))
-    low = F.max(F.struct(sound.alias("t"), tie.alias("k"), value.isNull().alias("p"), (-value.cast("decimal(20,0)")).alias("v")))
+    return high, F.max(F.struct(sound.alias("t"), tie.alias("k"), value.isNull().alias("p"), (-value.cast("decimal(20,0)")).alias("v")))
+
+
+def one_balance(high: Column, low: Column) -> Column:
+    """The value that both ends of ``latest`` agree on; differing ones fail."""
     return F.when(high["v"].eqNullSafe((-low["v"]).cast("bigint")), high["v"]).otherwise(F.raise_error(F.lit("conflicting snapshot values")).cast("bigint"))
 
 
+def snapshot_balance(value: Column, time: Column, tie: Column) -> Column:
+    """The value at the greatest (time, tie)."""
+    return one_balance(*latest(value, time, tie))
+
+
 def scale(x: Column, numerator: int, denominator: int, half_even: bool = False) -> Column:
     """A whole number times an exact factor, with 18 decimals."""
     if numerator <= 0 or denominator <= 0:

@@ -6,11 +6,15 @@ revision it was written against is still current.
 
 from __future__ import annotations
 
+import datetime as dt
 import hashlib
+import heapq
 import json
 import re
-from collections.abc import Mapping
+import threading
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field, is_dataclass, replace  # noqa: F401 - replace is for users of these records
+from functools import cached_property
 
 from pyspark.sql import types as T
 
@@ -175,6 +179,8 @@ class Relation:
 def _plain(x):
     if isinstance(x, T.DataType):
         return json.loads(x.json())
+    if isinstance(x, dt.date):
+        return x.isoformat()
     if is_dataclass(x):
         return {k: _plain(getattr(x, k)) for k in x.__dataclass_fields__}
     if isinstance(x, Mapping):
@@ -191,7 +197,7 @@ class Snapshot:
     relations: Mapping[str, Relation] = field(default_factory=dict)
     revision: int = 0
 
-    @property
+    @cached_property
     def id(self) -> str:
         return hashlib.sha256(json.dumps({k: _plain(r) for k, r in self.relations.items()}, sort_keys=True).encode()).hexdigest()
 
@@ -206,9 +212,17 @@ class Catalog:
 
     def __init__(self):
         self.current = Snapshot()
+        self.lock = threading.Lock()
+        self._indexed: Snapshot | None = None
+        self._parts: dict[str, Relation] = {}
+        self._tables: tuple[dict, dict, dict] = ({}, {}, {})
 
     def publish(self, relations: list[Relation], expected_revision: int | None = None) -> Snapshot:
-        """Add or replace relations at once; views must not depend on what isn't there, nor on themselves."""
+        """Add or replace relations at once; views must not depend on what isn't there, nor on themselves.  One publication at a time."""
+        with self.lock:
+            return self._publish(relations, expected_revision)
+
+    def _publish(self, relations: list[Relation], expected_revision: int | None) -> Snapshot:
         if expected_revision is not None and expected_revision != self.current.revision:
             raise CompileError("revision_conflict", f"{self.current.revision} is current")
         merged = dict(self.current.relations)
@@ -245,16 +259,42 @@ class Catalog:
         return sorted(found - {name})
 
     def search(self, terms: str, limit: int = 64) -> list[tuple[str, str, float]]:
-        """(kind, name, weight) of objects whose names, aliases or descriptions hold the terms; exact names first, ties by name."""
-        words = set(re.findall(r"\w+", terms.lower()))
-        hits = []
-        for r in self.current.relations.values():
-            objects = [("relation", r.name, r.description), *(("field", f"{r.name}.{f.name}", "") for f in r.schema)]
-            objects += [(k, f"{r.name}.{o.id}", " ".join(o.aliases)) for k, os_ in (("metric", r.meaning.metrics), ("ratio", r.meaning.ratios), ("concept", r.meaning.concepts)) for o in os_]
-            for kind, name, text in objects:
-                own = set(re.findall(r"[a-z0-9]+", name.lower()))
-                weight = 2.0 * len(words & own) + len(words & set(re.findall(r"\w+", text.lower()))) + (5.0 if terms.lower() in (name.lower(), name.split(".")[-1].lower()) else 0.0)
-                if weight:
-                    hits.append((kind, name, weight))
-        return sorted(hits, key=lambda h: (-h[2], h[0], h[1]))[: min(limit, 64)]
-
+        """(kind, name, weight) of objects whose names, aliases or descriptions hold the terms; exact names first, ties by name.  Only objects that hold one are looked at."""
+        weight: dict[tuple[str, str], float] = {}
+        by_name, by_text, exact = self.words()
+        for table, each in ((by_name, 2.0), (by_text, 1.0)):
+            for w in set(re.findall(r"\w+", terms.lower())):
+                for o in table.get(w, ()):
+                    weight[o] = weight.get(o, 0.0) + each
+        for o in exact.get(terms.lower(), ()):
+            weight[o] = weight.get(o, 0.0) + 5.0
+        return heapq.nsmallest(min(limit, 64), ((k, n, v) for (k, n), v in weight.items()), key=lambda h: (-h[2], h[0], h[1]))
+
+    def words(self) -> tuple[dict, dict, dict]:
+        """Objects by the words of their names, by those of their descriptions and aliases, and by whole names; relations that a publication leaves alone keep their part."""
+        snapshot = self.current
+        with self.lock:
+            if self._indexed is not snapshot:
+                for name in [n for n, r in self._parts.items() if snapshot.relations.get(n) is not r]:
+                    for table, key, o in _entries(self._parts.pop(name)):
+                        self._tables[table][key].discard(o)
+                for name, r in snapshot.relations.items():
+                    if name not in self._parts:
+                        self._parts[name] = r
+                        for table, key, o in _entries(r):
+                            self._tables[table].setdefault(key, set()).add(o)
+                self._indexed = snapshot
+            return self._tables
+
+
+def _entries(r: Relation) -> Iterator[tuple[int, str, tuple[str, str]]]:
+    objects = [("relation", r.name, r.description), *(("field", f"{r.name}.{f.name}", "") for f in r.schema)]
+    objects += [(k, f"{r.name}.{o.id}", " ".join(o.aliases)) for k, os_ in (("metric", r.meaning.metrics), ("ratio", r.meaning.ratios), ("concept", r.meaning.concepts)) for o in os_]
+    for kind, name, text in objects:
+        o = (kind, name)
+        for w in set(re.findall(r"[a-z0-9]+", name.lower())):
+            yield 0, w, o
+        for w in set(re.findall(r"\w+", text.lower())):
+            yield 1, w, o
+        for whole in {name.lower(), name.split(".")[-1].lower()}:
+            yield 2, whole, o

@@ -117,19 +117,24 @@ class GraphCompiler:
         return self.finish(joins.set_operation(left.frame.select(*sides[0]), right.frame.select(*sides[1]), operator, duplicates), slots, left, right)
 
     def op_compose(self, op: Mapping, left: Bound, right: Bound) -> Bound:
-        _, _, _, _, _, _, domain, nulls, keys, outputs = take(op, "kind", "left", "right", "relationship_relation", "relationship", "role", "domain", "null_alignment", "keys", "outputs")
+        _, _, _, owner, name, role, domain, nulls, keys, outputs = take(op, "kind", "left", "right", "relationship_relation", "relationship", "role", "domain", "null_alignment", "keys", "outputs")
         for b, side in ((left, "left"), (right, "right")):
             groups = {s.id for s in b.slots if s.kind == "group"}
             if groups != {k[side] for k in keys} or any(s.kind == "value" for s in b.slots):
                 # facts are put side by side at one common grain, never multiplied
                 raise CompileError("composition_grain", side)
+        pairs = self.authored(owner, name, role, len(keys))
         slots, plain, made = [], [], []
         for k in keys:
             kid, l, r, alias = take(k, "id", "left", "right", "alias")
             a, b = self.slot(left, l), self.slot(right, r)
             if a.type != b.type:
                 raise CompileError("composition_key_type", kid)
-            slots.append(Slot(kid, alias, a.type, a.unit, "group"))
+            if (a.source, b.source) not in pairs:
+                # groups stand for the authored keys, each used once
+                raise CompileError("composition_key_origin", kid)
+            pairs.remove((a.source, b.source))
+            slots.append(Slot(kid, alias, a.type, a.unit, "group", source=a.source))
             plain.append((a.id, b.id, kid))
         for o in outputs:
             oid, side, sid, alias, missing = take(o, "id", "side", "slot", "alias", "missing")
@@ -141,12 +146,27 @@ class GraphCompiler:
         frame = joins.compose(left.frame, right.frame, plain, made, domain, nulls == "match")
         return self.finish(frame, slots, left, right)
 
+    def authored(self, owner: str, name: str, role: str, keys: int) -> list[tuple[tuple[str, str], tuple[str, str]]]:
+        """The key pairs, as fields of relations, of the relationship that a composition by ``keys`` keys names; one without keys names none."""
+        if not keys:
+            if owner or name or role:
+                raise CompileError("composition_relationship", "frames of one row have no relationship")
+            return []
+        compiler = self.rows()
+        compiler.read = set()
+        found = next((x for x in compiler.open(owner).meaning.relationships if x.id == name), None)
+        if found is None:
+            raise CompileError("unknown_relationship", name)
+        if found.role != role or len(found.keys) != keys or compiler.allowed is not None and found.right not in compiler.allowed:
+            raise CompileError("composition_relationship", name)
+        return [((owner, a), (found.right, b)) for a, b in found.keys]
+
     def project(self, source: Bound, passthrough: list) -> tuple[list[Slot], list]:
         slots, cols = [], []
         for p in passthrough:
             pid, sid, alias = take(p, "id", "slot", "alias")
             s = self.slot(source, sid)
-            slots.append(Slot(pid, alias, s.type, s.unit, s.kind, s.metric, s.origin))
+            slots.append(Slot(pid, alias, s.type, s.unit, s.kind, s.metric, s.origin, s.source))
             cols.append(F.col(f"`{s.id}`").alias(pid))
         return slots, cols
 

@@ -40,17 +40,34 @@ class Slot:
     kind: str = "value"  # value, group, aggregate, window, ratio
     metric: C.Metric | None = None
     origin: str | None = None
+    source: tuple[str, str] | None = None  # the relation and the field that a group's values are
 
 
 @dataclass
 class Bound:
-    """A compiled query: the frame by slots, the slots in order, and the relations it reads."""
+    """A compiled query: the frame by slots, the slots in order, and the relations it reads.
+
+    ``current`` tells whether the catalog is the one it was compiled against, ``restricted`` whether it was compiled for a scope.
+    """
 
     frame: DataFrame
     slots: list[Slot]
     relations: set[str] = field(default_factory=set)
+    current: Callable[[], bool] | None = None
+    restricted: bool = False
+
+    def authorised(self, allowed: set[str] | None) -> DataFrame:
+        """The result, if the scope of whoever runs it now holds every relation read."""
+        if self.current is not None and not self.current():
+            raise CompileError("snapshot_mismatch", "the catalog has changed since")
+        if allowed is None and self.restricted or allowed is not None and not self.relations <= allowed:
+            raise CompileError("execution_scope", ", ".join(sorted(self.relations - (allowed or set()))))
+        return self.named()
 
     def result(self) -> DataFrame:
+        return self.authorised(None)
+
+    def named(self) -> DataFrame:
         return self.frame.select(*(F.col(f"`{s.id}`").alias(s.alias) for s in self.slots))
 
 
@@ -329,7 +346,7 @@ class RowCompiler:
             raise CompileError("lookup_grain")
         x = self.relationship(name, role)
         slot = self.look_up(rid, self.instance, x, self.new_instance(instance), value, missing)
-        slot = Slot(slot.id, alias, slot.type, kind="group" if usage == "group" else "value", origin=f"{name}.{value}")
+        slot = Slot(slot.id, alias, slot.type, kind="group" if usage == "group" else "value", origin=f"{name}.{value}", source=(x.right, value))
         self.add(slot)
         if usage == "group":
             if not isinstance(slot.type, KEY):
@@ -482,7 +499,7 @@ class RowCompiler:
         column, kind, meaning = self.field(ref)
         if not isinstance(kind, KEY):
             raise CompileError("invalid_output", alias)
-        slot = Slot(rid, alias, kind, meaning.unit if meaning else None, "group", origin=ref["field"])
+        slot = Slot(rid, alias, kind, meaning.unit if meaning else None, "group", origin=ref["field"], source=(self.scope[ref["instance"]].name, ref["field"]))
         self.add(slot)
         self.groups.append((slot, column))
 
@@ -640,6 +657,10 @@ class RowCompiler:
         if function in ("rank", "dense_rank"):
             if value is not None or frame != "through_current_peer":
                 raise CompileError("window_contract")
+            if not keys:  # over all rows: ranks come from the counts of the ordering's values, so that rows stay where they are
+                self.frame = whole_rank(self.frame, rid, function, [(self.window_input(o["input"])[0], o["direction"], o["nulls"]) for o in order])
+                self.add(Slot(rid, alias, T.LongType(), kind="window"))
+                return
             made, t = (F.rank() if function == "rank" else F.dense_rank()).over(w).cast("bigint"), T.LongType()
         else:
             c, kind, slot = self.window_input(value) if value is not None else (None, None, None)
@@ -685,6 +706,20 @@ class RowCompiler:
         self.frame = self.frame.offset(offset).limit(fetch)
 
 
+def whole_rank(frame: DataFrame, name: str, function: str, order: list[tuple[Column, str, str]]) -> DataFrame:
+    """Ranks over all rows as ``name``: from the counts of the ordering's different values, which alone are brought together."""
+    names = [f"__o{i}" for i in range(len(order))]
+    made = frame.withColumns({n: c for n, (c, *_) in zip(names, order)})
+    weight = F.count(F.lit(1)) if function == "rank" else F.max(F.lit(1))
+    before = Window.orderBy(*(sort_key(F.col(n), d, z) for n, (_, d, z) in zip(names, order))).rowsBetween(Window.unboundedPreceding, -1)
+    counted = made.groupBy(*names).agg(weight.cast("bigint").alias("__w"))
+    ranked = counted.select(*(F.col(n).alias(f"{n}r") for n in names), (F.coalesce(F.sum("__w").over(before), F.lit(0)) + 1).cast("bigint").alias(name))
+    on = F.lit(True)
+    for n in names:
+        on = on & F.col(n).eqNullSafe(F.col(f"{n}r"))
+    return made.join(ranked, on).drop(*names, *(f"{n}r" for n in names))
+
+
 def windowed(function: str, c: Column | None, kind: T.DataType | None, w) -> tuple[Column, T.DataType]:
     if function == "count":
         return F.count(F.lit(1) if c is None else c).over(w), T.LongType()
