@@ -431,14 +431,27 @@ def _composed(keys=True, domain="union"):
     measure = lambda oid, side, slot, alias, missing="zero": {"id": oid, "side": side, "slot": slot, "alias": alias, "missing": missing}
     return {
         "a": {"kind": "rows", "query": a}, "b": {"kind": "rows", "query": b},
-        "c": {"kind": "compose", "left": "a", "right": "b", "relationship_relation": "lines", "relationship": "status", "role": "status", "domain": domain, "null_alignment": "match",
+        "c": {"kind": "compose", "left": "a", "right": "b", **dict.fromkeys(("relationship", "role"), "status" if keys else ""), "relationship_relation": "lines" if keys else "", "domain": domain, "null_alignment": "match",
               "keys": [{"id": "k", "left": "s", "right": "s", "alias": "status"}] if keys else [], "outputs": [measure("l", "left", "t", "line_cents"), measure("o", "right", "t", "order_cents", "null"), measure("n", "right", "n", "orders")]},
     }
 
 
+#: The grain at which lines and sales may be put side by side.
+SIDE_BY_SIDE = C.Meaning(relationships=(C.Relationship("status", "sales", "status", (("l_linestatus", "o_orderstatus"),)),))
+
+
+def _side_by_side(spark, sf) -> Engine:
+    return engine(spark, sf, "sales", "lines", lines=SIDE_BY_SIDE)
+
+
 @query(f"{PER_STATUS} select coalesce(a.status, b.status) as status, case when a.status is null then 0 else line_cents end as line_cents, order_cents, coalesce(orders, 0)::bigint as orders from a full join b on a.status is not distinct from b.status")
 def compose_full(spark, sf):
-    return engine(spark, sf, "lines", "sales").graph(graph(_composed(), "c")).result()
+    return _side_by_side(spark, sf).graph(graph(_composed(), "c")).result()
+
+
+@query(f"{PER_STATUS} select a.status, line_cents, order_cents, orders from a join b on a.status = b.status")
+def compose_intersection(spark, sf):
+    return _side_by_side(spark, sf).graph(graph(_composed(domain="intersection"), "c")).result()
 
 
 @query(f"{DUCK} select (select sum(cents)::bigint from lines where quantity > 10) as line_cents, (select sum(cents)::bigint from sales) as order_cents, (select count(*)::bigint from sales) as orders")
@@ -455,12 +468,12 @@ def post_calculate(spark, sf):
         "f": {"kind": "filter", "input": "c", "predicate": {"kind": "any", "predicates": [compare("", "gt", "int64", 0, {"slot": "n"}), compare("", "gt", "int64", 0, {"slot": "l"})]}},
         "d": {"kind": "calculate", "input": "f", "passthrough": [{"id": "k2", "slot": "k", "alias": "status"}], "ratios": [{"id": "r", "numerator": "l", "denominator": "n", "zero": "zero", "alias": "per_order"}]},
     }
-    return engine(spark, sf, "lines", "sales").graph(graph(nodes, "d", [{"slot": "k2", "direction": "asc", "nulls": "last"}])).result()
+    return _side_by_side(spark, sf).graph(graph(nodes, "d", [{"slot": "k2", "direction": "asc", "nulls": "last"}])).result()
 
 
 def _after(spark, sf, kind, **body):
     nodes = _composed() | {"d": {"kind": kind, "input": "c", "passthrough": [{"id": "k2", "slot": "k", "alias": "status"}], **body}}
-    return engine(spark, sf, "lines", "sales").graph(graph(nodes, "d")).result()
+    return _side_by_side(spark, sf).graph(graph(nodes, "d")).result()
 
 
 @query(f"{JOINED} select status, case when n > 100 then 'many' else 'few' end as size from c")
@@ -512,6 +525,157 @@ def sql_joins_windows(spark, sf):
     return _naive(e.sql("select o.o_orderkey, c.c_name, row_number() over (partition by o_custkey order by o_orderkey) as nth, date_trunc('year', o_orderdate) as year, coalesce(nullif(o_orderstatus, 'P'), 'open') as status from orders o join customer c on o_custkey = c_custkey where c_name like 'Customer%' and not exists (select 1 from nation where n_nationkey = c_nationkey and n_nationkey > 20)"), "year")
 
 
+# -- what the rest leaves out -----------------------------------------------------------------------------------
+
+
+@query(f"{DUCK} select l_returnflag, {q18('sum(cents)', 'count(cents)')} as mean from lines group by 1")
+def mean_metric(spark, sf):
+    return engine(spark, sf, "lines", lines=METRICS).rows(proposal("lines", f=group("l_returnflag"), m={"kind": "metric", "name": "mean_cents", "alias": "mean"})).result()
+
+
+@query("select l_linestatus, sum(l_extendedprice::decimal(15,2))::decimal(25,2) as total, sum(l_quantity) as items, avg(l_quantity) as mean_items from lineitem group by 1")
+def decimal_and_float_sums(spark, sf):
+    e = engine(spark, sf, "lineitem")
+    e.view("wide", "select l_linestatus, cast(l_extendedprice as decimal(15,2)) as price, cast(l_quantity as double) as items from lineitem")
+    return e.rows(proposal("wide", s=group("l_linestatus"), t=agg("sum", "price", "total"), i=agg("sum", "items", "items"), m=agg("avg", "items", "mean_items"))).result()
+
+
+@query("select count(*)::bigint as n, sum(c_custkey)::bigint as total, min(c_name) as least from customer where c_custkey < 0")
+def global_on_empty(spark, sf):
+    e = engine(spark, sf, "customer")
+    e.view("some", "select cast(c_custkey as bigint) as c_custkey, c_name from customer")
+    return e.rows(proposal("some", f=where(compare("c_custkey", "lt", "int64", 0)), n=agg("count", None, "n"), t=agg("sum", "c_custkey", "total"), m=agg("min", "c_name", "least"))).result()
+
+
+def _null_keys(spark, sf, null_keys_match: bool) -> Engine:
+    e = engine(spark, sf, "nation", "customer")
+    e.view("places", "select n_name, nullif(n_nationkey, 3) as place from nation")
+    e.view("people", "select c_custkey, nullif(c_nationkey, 3) as place from customer", C.Meaning(relationships=(C.Relationship("home", "places", "home", (("place", "place"),), null_keys_match),)))
+    return e
+
+
+@query("select c_custkey from customer")
+def null_keys_match(spark, sf):
+    q = proposal("people", r={"kind": "related", "relationship": "home", "role": "home", "instance": "p", "mode": "exists"}, k=project("c_custkey"))
+    return _null_keys(spark, sf, True).rows(q).result()
+
+
+@query("select c_custkey, case when c_nationkey <> 3 then n_name end as home from customer join nation on c_nationkey = n_nationkey")
+def null_keys_differ(spark, sf):
+    q = proposal("people", k=project("c_custkey"), l={"kind": "lookup", "relationship": "home", "role": "home", "instance": "p", "field": "n_name", "alias": "home", "missing": "null"})
+    return _null_keys(spark, sf, False).rows(q).result()
+
+
+@query("select event_id, (extract(year from t) + case when extract(month from t) >= 10 then 1 else 0 end)::int as fiscal_year, (isodow(t) < 6) as business_day from (select event_id, ts - interval 5 hour as t from events)")
+def zoned_business_calendar(spark, sf):
+    e = Engine(spark)
+    e.register("events", e.spark.read.parquet(f"{sf}/events.parquet"))
+    days = e.spark.range(0, 20_000).selectExpr("date_add(date '1990-01-01', cast(id as int)) as date")
+    e.register("days", days.selectExpr("date", "cast(year(date) + if(month(date) >= 10, 1, 0) as int) as fiscal_year", "cast(month(date) as smallint) as fiscal_period", "weekday(date) < 5 as business_day"))
+    e.view("happenings", "select event_id, cast(ts as timestamp) as at from events", C.Meaning(calendars=(C.BusinessCalendar("fiscal", "at", "days", "date", "Etc/GMT+5"),)))
+    b = lambda f: {"kind": "business_calendar", "calendar": "fiscal", "field": f, "alias": f}
+    return e.rows(proposal("happenings", k=project("event_id"), y=b("fiscal_year"), d=b("business_day"))).result()
+
+
+@query("select o_orderkey from orders where o_orderdate >= timestamp '1996-04-01' and o_orderdate < timestamp '1996-05-01'")
+def view_coverage(spark, sf):
+    q = proposal("sales", f={"kind": "calendar_filter", "field": fld("ordered_at"), "period": {"unit": "month", "offset": -1, "count": 1}}, k=project("o_orderkey"))
+    return engine(spark, sf, "sales", sales=C.Meaning(coverage=("month", dt.date(1995, 1, 1), dt.date(1997, 1, 1)))).rows(q, context=AT).result()
+
+
+@query(f"{DUCK} select l_returnflag, l_linestatus, sum(cents)::bigint as revenue, (sum(sum(cents)) over (partition by l_returnflag))::bigint as of_flag from lines group by 1, 2")
+def window_metric_rollup(spark, sf):
+    q = proposal("lines", f=group("l_returnflag"), s=group("l_linestatus"), m={"kind": "metric", "name": "revenue", "alias": "revenue"}, w=window("sum", "of_flag", [out("f")], [], "entire_partition", out("m")))
+    return engine(spark, sf, "lines", lines=METRICS).rows(q).result()
+
+
+@query("select c_custkey, rank() over (order by c_nationkey desc)::bigint as place, dense_rank() over (order by c_mktsegment, c_nationkey)::bigint as block from customer")
+def window_over_all_rows(spark, sf):
+    q = proposal("customer", k=project("c_custkey"), r=window("rank", "place", [], [ordered(at_field("c_nationkey"), "desc")], "through_current_peer"), d=window("dense_rank", "block", [], [ordered(at_field("c_mktsegment")), ordered(at_field("c_nationkey"))], "through_current_peer"))
+    return engine(spark, sf, "customer").rows(q).result()
+
+
+@query(f"{DUCK} select o_custkey, sum(cents)::bigint as total from sales group by 1 order by total desc, o_custkey limit 20")
+def order_by_output(spark, sf):
+    return engine(spark, sf, "sales").rows(proposal("sales", c=group("o_custkey"), t=agg("sum", "cents", "total"), a=by("t", "desc"), b=by("c"), l={"kind": "limit", "count": 20})).result()
+
+
+@query(f"{PER_STATUS} select status, orders from b order by orders desc, status limit 2")
+def graph_order_limit(spark, sf):
+    rows = proposal("sales", s=group("o_orderstatus", "status"), n=agg("count", None, "orders"))
+    keys = [{"slot": "n", "direction": "desc", "nulls": "last"}, {"slot": "s", "direction": "asc", "nulls": "last"}]
+    return engine(spark, sf, "sales").graph(graph({"a": {"kind": "rows", "query": rows}}, "a", keys, 2)).result()
+
+
+def _register_differences():
+    for dup in ("all", "distinct"):
+        def run(spark, sf, dup=dup):
+            e = engine(spark, sf, "lines", "sales")
+            a = proposal("sales", k=project("o_orderstatus", "status"), q=where(compare("o_orderkey", "lt", "int64", 4000)))
+            b = proposal("lines", k=project("l_linestatus", "status"), q=where(compare("quantity", "lt", "int64", 3)))
+            return e.graph(graph({"a": {"kind": "rows", "query": a}, "b": {"kind": "rows", "query": b}, "s": {"kind": "set", "left": "a", "right": "b", "operator": "except", "duplicates": dup, "columns": [{"id": "c", "left": "k", "right": "k", "alias": "status"}]}}, "s")).result()
+
+        run.__name__ = f"except_{dup}_rows_left"
+        query(f"select o_orderstatus as status from orders where o_orderkey < 4000 except {'all' if dup == 'all' else ''} select l_linestatus as status from lineitem where cast(l_quantity as bigint) < 3")(run)
+
+
+_register_differences()
+
+
+@query("select coalesce(n_name, 'none') as nation, coalesce(c_name, 'nobody') as name from customer full join (select * from nation where n_nationkey < 10) on c_nationkey = n_nationkey")
+def sql_full_join(spark, sf):
+    return engine(spark, sf, "nation", "customer").sql("select coalesce(n_name, 'none') as nation, coalesce(c_name, 'nobody') as name from customer full join (select * from nation where n_nationkey < 10) on c_nationkey = n_nationkey")
+
+
+@query("select n_name, r_name, c_custkey from customer right join nation on c_nationkey = n_nationkey and c_acctbal > 5000 cross join (select r_name from region where r_regionkey < 2)")
+def sql_right_and_cross_joins(spark, sf):
+    return engine(spark, sf, "nation", "customer", "region").sql("select n_name, r_name, c_custkey from customer right join nation on c_nationkey = n_nationkey and c_acctbal > 5000 cross join (select r_name from region where r_regionkey < 2)")
+
+
+@query("select l_returnflag, l_linestatus, count(*)::bigint as n, 'rollup' as kind from lineitem group by rollup (l_returnflag, l_linestatus) union all select l_returnflag, l_linestatus, count(*)::bigint, 'sets' from lineitem group by grouping sets ((l_returnflag), (l_linestatus), ())")
+def sql_rollup_and_grouping_sets(spark, sf):
+    return engine(spark, sf, "lineitem").sql("select l_returnflag, l_linestatus, count(*) as n, 'rollup' as kind from lineitem group by rollup (l_returnflag, l_linestatus) union all select l_returnflag, l_linestatus, count(*), 'sets' from lineitem group by grouping sets ((l_returnflag), (l_linestatus), ())")
+
+
+@query("select c_custkey, sqrt(c_custkey::double) as root, (c_custkey // 7)::bigint as whole, abs(c_acctbal) as size, c_custkey % 7 as rest, upper(substr(c_name, 1, 3)) || lower(c_mktsegment) as tag, length(trim(c_name))::int as n, case when c_name like '%1' then 'one' when c_nationkey in (1, 2) then 'some' else 'other' end as kind from customer")
+def sql_scalars(spark, sf):
+    return engine(spark, sf, "customer").sql("select c_custkey, sqrt(c_custkey) as root, c_custkey div 7 as whole, abs(c_acctbal) as size, c_custkey % 7 as rest, upper(substr(c_name, 1, 3)) || lower(c_mktsegment) as tag, length(trim(c_name)) as n, case when c_name like '%1' then 'one' when c_nationkey in (1, 2) then 'some' else 'other' end as kind from customer")
+
+
+@query("select extract(year from o_orderdate)::int as y, extract(quarter from o_orderdate)::int as q, count(*)::bigint as n, count(distinct extract(month from o_orderdate))::bigint as months from orders group by 1, 2")
+def sql_extract(spark, sf):
+    return engine(spark, sf, "orders").sql("select extract(year from o_orderdate) as y, extract(quarter from o_orderdate) as q, count(*) as n, count(distinct extract(month from o_orderdate)) as months from orders group by 1, 2")
+
+
+@query("select v.id, v.label, n_name from (values (1, 'a'), (2, null), (7, 'c')) v(id, label) left join nation on n_nationkey = v.id")
+def typed_values(spark, sf):
+    return engine(spark, sf, "nation").sql("select v.id, v.label, n_name from (values (1, 'a'), (2, null), (7, 'c')) as v(id, label) left join nation on n_nationkey = v.id")
+
+
+@query("""with a as (select c_custkey, c_acctbal < 0 and c_custkey >= 10 as hit, c_acctbal, c_mktsegment from customer),
+b as (select c_custkey, case when hit then c_acctbal + 1 else c_acctbal end as c_acctbal, case when hit then 'back' else c_mktsegment end as segment from a)
+select c_custkey, case when c_custkey % 3 = 0 then 0.5 else c_acctbal end as c_acctbal, case when c_custkey % 3 = 0 then 'third' else segment end as segment from b where not c_acctbal > 9000
+union all select -c_custkey, c_acctbal, 'new' from customer where c_custkey between 1 and 10""")
+def sql_writes(spark, sf):
+    from marlstone.sources.generations import Generations
+
+    e = engine(spark, sf, "customer")
+    e.view("accounts", "select cast(c_custkey as bigint) as c_custkey, cast(c_acctbal as double) as c_acctbal, c_mktsegment as segment from customer")
+    table = Generations(e.spark, _folder(spark))
+    table.create(e.sql("select * from accounts").schema, ("c_custkey",))
+    e.bind("balances", table)
+    e.write("insert into balances select * from accounts")
+    e.write("update balances set c_acctbal = c_acctbal + 1, segment = $1 where c_acctbal < 0 and c_custkey >= $2", ["back", 10])
+    e.write("delete from balances where c_acctbal > $1", [9000.0])
+    e.view("thirds", "select c_custkey, cast(0.5 as double) as c_acctbal, 'third' as segment from accounts where c_custkey % 3 = 0")
+    merge = "require idempotent merge into balances t using thirds s on t.c_custkey = s.c_custkey when matched then update set c_acctbal = s.c_acctbal, segment = s.segment"
+    if not e.write(merge).rows or e.write(merge).rows:
+        raise RuntimeError("a merge isn't idempotent")
+    e.view("fresh", "select -c_custkey as c_custkey, c_acctbal, 'new' as segment from accounts where c_custkey between 1 and 10")
+    e.write("merge into balances t using fresh s on t.c_custkey = s.c_custkey when matched then update set c_acctbal = s.c_acctbal, segment = s.segment when not matched then insert (c_custkey, c_acctbal, segment) values (s.c_custkey, s.c_acctbal, s.segment)")
+    return e.sql("select * from balances")
+
+
 def _folder(spark: SparkSession) -> str:
     """A new folder that all machines see: under the checkpoint folder, or a local one where there is none."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

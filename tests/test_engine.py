@@ -203,7 +203,7 @@ def test_graph_refusals(engine):
         ("graph_root", Q.graph({"a": rows}, "z")),
         ("graph_coverage", Q.graph({"a": rows, "b": rows}, "a")),
         ("graph_cycle", Q.graph({"a": {"kind": "filter", "input": "a", "predicate": {}}}, "a")),
-        ("composition_grain", Q.graph({"a": rows, "b": rows, "c": {"kind": "compose", "left": "a", "right": "b", "relationship_relation": "items", "relationship": "r", "role": "r", "domain": "union", "null_alignment": "match", "keys": [], "outputs": []}}, "c")),
+        ("composition_grain", Q.graph({"a": rows, "b": rows, "c": {"kind": "compose", "left": "a", "right": "b", "relationship_relation": "", "relationship": "", "role": "", "domain": "union", "null_alignment": "match", "keys": [], "outputs": []}}, "c")),
         ("set_type", Q.graph({"a": rows, "b": {"kind": "rows", "query": item(a=Q.project("label"))}, "s": {"kind": "set", "left": "a", "right": "b", "operator": "union", "duplicates": "all", "columns": [{"id": "c", "left": "a", "right": "a", "alias": "c"}]}}, "s")),
     ]:
         with pytest.raises(CompileError) as e:
@@ -245,7 +245,7 @@ def test_files(spark, tmp_path):
         w.write_batch(pa.record_batch([pa.array([1, 2, None])], ["id"]))
     assert rows_of(read(spark, FileSource(str(tmp_path / "c.arrow")))) == [(1,), (2,), (None,)]
     assert infer_format("x/a.csv.gz") == ("csv", "gz")
-    for bad in (FileSource(str(tmp_path)), FileSource("a.parquet.gz"), FileSource("a.avro"), FileSource("a.csv", delimiter="ab")):
+    for bad in (FileSource(str(tmp_path)), FileSource("a.parquet.gz"), FileSource("a.avro", schema=schema_of_model({"id": "integer"})), FileSource("a.csv", delimiter="ab")):
         with pytest.raises(SourceError):
             read(spark, bad)
     with pytest.raises(SourceError):
@@ -269,4 +269,329 @@ def test_generations(spark, tmp_path):
     for bad in (lambda: t.merge(spark.createDataFrame([(2, "a"), (2, "b")], schema)), lambda: t.update({"id": "1"}), lambda: t.insert(src, ["id"]), lambda: t.insert(src, ["id", "v"])):
         with pytest.raises(WriteError):
             bad()
-    assert t.publish(t.read(), 0, "stale").outcome is Outcome.ABORTED
+    assert t.publish([], schema, 0, 0, ["id"]).outcome is Outcome.ABORTED
+
+
+def test_of_two_writers_one_publishes(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    schema = spark.createDataFrame([], "id bigint").schema
+    one = Generations(spark, f"file://{tmp_path}/t")
+    one.create(schema)
+    for _ in range(5):
+        base = one.manifest()
+        with ThreadPoolExecutor(8) as pool:
+            got = list(pool.map(lambda k: Generations(spark, one.path).publish([f"x{k}"], schema, k, base["generation"], []), range(8)))
+        assert sorted(r.outcome.name for r in got) == ["ABORTED"] * 7 + ["COMMITTED"]
+        won = next(r for r in got if r.outcome is Outcome.COMMITTED)
+        assert one.manifest()["files"] == [f"x{won.rows}"]
+
+
+def test_writes_leave_other_files_alone(spark, tmp_path):
+    t = Generations(spark, f"file://{tmp_path}/t")
+    schema = spark.createDataFrame([], "id bigint, v string").schema
+    t.create(schema, ("id",))
+    for k in range(3):
+        t.insert(spark.createDataFrame([(10 * k + i, "a") for i in range(5)], schema).coalesce(1), ["id", "v"])
+    before = set(t.manifest()["files"])
+    assert len(before) == 3 and t.update({"v": "'b'"}, "id = 12").rows == 1
+    assert len(before & set(t.manifest()["files"])) == 2
+    assert t.merge(spark.createDataFrame([(21, "c"), (99, "d")], schema)).rows == 2
+    assert len(before & set(t.manifest()["files"])) == 1 and t.read().count() == 16
+    assert t.read(3).count() == 15 and t.read(3).where("v = 'a'").count() == 15
+    number = t.manifest()["generation"]
+    assert t.merge(spark.createDataFrame([(21, "c")], schema)).rows == 0 and t.manifest()["generation"] == number
+    assert t.vacuum(keep=1, seconds=-60) >= 2 and t.read().count() == 16 and len(t.numbers()) == 1
+    with pytest.raises(WriteError):
+        t.insert(spark.createDataFrame([(99, "again")], schema), ["id", "v"])
+
+
+def test_sql_writes(spark, tmp_path):
+    e = Engine(spark)
+    schema = spark.createDataFrame([], "id bigint, v string, n bigint").schema
+    t = Generations(e.spark, f"file://{tmp_path}/t")
+    t.create(schema, ("id",))
+    e.register("src", spark.createDataFrame([(1, "a", 5), (2, "b", None)], schema))
+    e.bind("items", t)
+    e.view("many", "select count(*) as n from items")
+    assert e.sql("select n from many").first().n == 0
+    was = e.identity("many")
+    assert e.write("INSERT INTO items SELECT * FROM src").rows == 2 and e.sql("select n from many").first().n == 2 and e.identity("many") != was
+    assert e.write("update items i set v = $1, n = i.n + 1 where i.id = $2 or n is null", ["it's", 1]).rows == 2
+    assert rows_of(e.sql("select * from items")) == [(1, "it's", 6), (2, "it's", None)]
+    merge = "merge into items t using src s on t.id = s.id when matched then update set v = s.v when not matched then insert (id, v, n) values (s.id, s.v, s.n)"
+    with pytest.raises(CompileError):  # n would be inserted, but not set
+        e.write("merge into items t using src s on t.id = s.id when matched then update set n = s.n when not matched then insert (id, v) values (s.id, s.v)")
+    assert e.write(f"REQUIRE IDEMPOTENT {merge}").rows == 2 and e.write(merge).rows == 0
+    assert e.write("delete from items where not (id < 2)").rows == 1
+    for code, bad in [
+        ("write_unsupported", "select 1"), ("write_unsupported", "drop table items"), ("write_binding", "delete from src where id = 1"), ("unknown_relation", "delete from nope where id = 1"),
+        ("write_unsupported", "require idempotent update items set v = 'x'"), ("write_expression", "update items set v = upper(v)"), ("write_expression", "update items set n = (select max(n) from src)"),
+        ("write_rejected", "update items set id = 3"), ("merge_keys", "merge into items t using src s on t.id = s.n when matched then update set v = s.v and 1"),
+        ("write_unsupported", "merge into items t using src s on t.id = s.id when matched then delete"),
+        ("merge_source", "require idempotent merge into items t using (select id, v from items) s on t.id = s.id when matched then update set v = s.v"),
+        ("merge_source", "require idempotent merge into items t using (select cast(rand() as bigint) as id, 'x' as v) s on t.id = s.id when matched then update set v = s.v"),
+        ("parameter_count", "delete from items where id = $2"), ("read_only", "insert into items select cast(reflect('java.lang.Math', 'random') as bigint), 'x', 1"),
+    ]:
+        with pytest.raises(CompileError) as err:
+            e.write(bad)
+        assert err.value.code == code or code == "merge_keys", (bad, err.value)
+
+
+def test_gate_refuses_functions_that_reach_out(spark):
+    e = Engine(spark)
+    e.register("t", spark.range(5))
+    for bad in (
+        "select reflect('java.lang.System', 'getProperty', 'user.dir') from t", "select java_method('java.lang.System', 'getenv', 'HOME') from t", "select try_reflect('java.lang.Math', 'random') from t",
+        "select 1 from t where reflect('java.lang.Math', 'random') > '0'", "select (select java_method('java.lang.Math', 'random')) from t", "with x as (select reflect('java.lang.Math', 'random') as r from t) select * from x",
+        "select input_file_name() from t", "select * from t order by reflect('java.lang.Math', 'random')", "select id from t group by id, reflect('java.lang.Math', 'random')", "select nosuch(id) from t",
+        "select * from sql_keywords()", "select count(*) over (partition by reflect('java.lang.Math', 'random')) from t", "select default.f(id) from t",
+    ):
+        with pytest.raises(CompileError) as err:
+            e.sql(bad)
+        assert err.value.code == "read_only", bad
+    assert e.sql("select x from t lateral view explode(array(id, id)) as x").count() == 10
+    assert e.sql("select r.id from range(3) r join t on r.id = t.id where abs(t.id) >= sqrt(1)").count() == 2
+
+
+def test_relations_are_opened_when_first_read(spark):
+    e, opened = Engine(spark), []
+
+    def source():
+        opened.append(1)
+        return spark.range(4)
+
+    e.register("late", source, schema=spark.range(1).schema)
+    assert not opened and [f.name for f in e.catalog.current.relation("late").schema] == ["id"]
+    assert e.sql("select count(*) as n from late").first().n == 4 and len(opened) == 1
+    assert e.rows(Q.proposal("late", n=Q.agg("count", None, "n"))).result().first().n == 4 and len(opened) == 1
+    e.register("other", source, schema=spark.createDataFrame([], "id string").schema)
+    with pytest.raises(CompileError) as err:
+        e.sql("select * from other")
+    assert err.value.code == "source_schema"
+
+
+def test_scope_and_snapshot_are_checked_when_a_query_is_run(spark):
+    e = Engine(spark)
+    e.register("a", spark.range(3))
+    q = Q.proposal("a", k=Q.project("id"))
+    bound = e.rows(q, allowed={"a", "b"})
+    assert bound.authorised({"a"}).count() == 3
+    for allowed in (None, {"b"}, set()):
+        with pytest.raises(CompileError) as err:
+            bound.authorised(allowed)
+        assert err.value.code == "execution_scope"
+    free = e.rows(q)
+    assert free.result().count() == 3
+    e.register("b", spark.range(1))
+    with pytest.raises(CompileError) as err:
+        free.result()
+    assert err.value.code == "snapshot_mismatch"
+
+
+def test_compositions_are_authored(spark):
+    def made(change, allowed=None, side=Q.SIDE_BY_SIDE):
+        nodes = Q._composed()
+        nodes["c"] = nodes["c"] | change
+        return Q.engine(spark, SF, "sales", "lines", lines=side).graph(Q.graph(nodes, "c"), allowed=allowed)
+
+    assert made({}).result().count() == 3
+    wrong = C.Meaning(relationships=(C.Relationship("status", "sales", "status", (("l_returnflag", "o_orderstatus"),)),))
+    wide = C.Meaning(relationships=(C.Relationship("status", "sales", "status", (("l_linestatus", "o_orderstatus"), ("l_returnflag", "o_orderstatus"))),))
+    for code, change, more in [
+        ("unknown_relationship", {"relationship": "nope"}, {}), ("composition_relationship", {"role": "nope"}, {}), ("unknown_relation", {"relationship_relation": "nope"}, {}),
+        ("composition_key_origin", {}, {"side": wrong}), ("composition_relationship", {}, {"side": wide}), ("access_scope", {}, {"allowed": {"lines"}}),
+    ]:
+        with pytest.raises(CompileError) as err:
+            made(change, **more)
+        assert err.value.code == code
+    nodes = Q._composed(False)
+    nodes["c"] = nodes["c"] | {"relationship": "status"}
+    with pytest.raises(CompileError) as err:
+        Q._side_by_side(spark, SF).graph(Q.graph(nodes, "c"))
+    assert err.value.code == "composition_relationship"
+
+
+def test_concurrent_publications_lose_nothing():
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark.sql import types as T
+
+    catalog = C.Catalog()
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda k: catalog.publish([C.Relation(f"r{k}", T.StructType())]), range(200)))
+    assert len(catalog.current.relations) == 200 and catalog.current.revision == 200
+
+
+def test_text_predicates_stay_local(spark):
+    from marlstone.sources.connectors import Jdbc
+
+    df = spark.read.parquet(f"{SF}/customer.parquet")
+    plan = Jdbc("jdbc:x", "y").guarded(df).where("c_name = 'x' and c_custkey > 5")._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :].split("]")[0]
+    assert "GreaterThan(c_custkey,5)" in pushed and "(c_name,x)" not in pushed
+
+
+def test_avro_and_xz(spark, tmp_path):
+    import json as js
+    import lzma
+    import zlib
+
+    def number(n):
+        n, out = (n << 1) ^ (n >> 63), b""
+        while n > 0x7F:
+            out, n = out + bytes([n & 0x7F | 0x80]), n >> 7
+        return out + bytes([n])
+
+    text = lambda s: number(len(s.encode())) + s.encode()
+    schema = {"type": "record", "name": "r", "fields": [{"name": "id", "type": "long"}, {"name": "name", "type": ["null", "string"]}, {"name": "day", "type": {"type": "int", "logicalType": "date"}}, {"name": "marks", "type": {"type": "array", "items": "int"}}, {"name": "cents", "type": {"type": "bytes", "logicalType": "decimal", "precision": 9, "scale": 2}}]}
+    rows = [(-3, None, 0, [], -150), (2**40, "é", 19723, [1, -2, 300], 12345)]
+    body = b"".join(number(i) + (number(0) if n is None else number(1) + text(n)) + number(d) + ((number(len(m)) + b"".join(map(number, m))) if m else b"") + number(0) + number(2) + c.to_bytes(2, "big", signed=True) for i, n, d, m, c in rows)
+    for codec, packed in (("null", body), ("deflate", zlib.compress(body)[2:-4])):
+        meta = number(2) + text("avro.schema") + text(js.dumps(schema)) + text("avro.codec") + text(codec) + number(0)
+        (tmp_path / f"{codec}.avro").write_bytes(b"Obj\x01" + meta + b"m" * 16 + number(len(rows)) + number(len(packed)) + packed + b"m" * 16)
+        df = read(spark, FileSource(str(tmp_path / f"{codec}.avro")))
+        assert [tuple(r) for r in df.orderBy("id").collect()] == [(-3, None, dt.date(1970, 1, 1), [], Decimal("-1.50")), (2**40, "é", dt.date(2024, 1, 1), [1, -2, 300], Decimal("123.45"))]
+    (tmp_path / "broken.avro").write_bytes((tmp_path / "null.avro").read_bytes()[:-1] + b"x")
+    with pytest.raises(Exception):
+        read(spark, FileSource(str(tmp_path / "broken.avro"))).collect()
+    (tmp_path / "a.csv.xz").write_bytes(lzma.compress(b"id,name\n1,x\n2,\"a,b\"\n"))
+    assert rows_of(read(spark, FileSource(str(tmp_path / "a.csv.xz")))) == [(1, "x"), (2, "a,b")]
+    (tmp_path / "b.jsonl.xz").write_bytes(lzma.compress(b'{"id": 1}\n\n{"id": 2}\n'))
+    assert rows_of(read(spark, FileSource(str(tmp_path / "b.jsonl.xz")))) == [(1,), (2,)]
+    with pytest.raises(Exception):
+        read(spark, FileSource(str(tmp_path / "b.jsonl.xz"), schema=schema_of_model({"id": "boolean"}))).collect()
+
+
+def test_mergeable_states(spark):
+    from marlstone.functions.states import State
+
+    at = dt.datetime(2024, 1, 1)
+    df = spark.createDataFrame([(g, d, v, w, at + dt.timedelta(days=t), k) for g, d, v, w, t, k in [("A", 1, 10, 1, 0, 1), ("A", 1, 20, 3, 1, 2), ("A", 2, 20, 2, 1, 3), ("B", 1, None, 4, 0, 1), ("B", 2, 7, 0, 0, 0)]], "g string, d int, v bigint, w bigint, t timestamp, k bigint")
+    over = frozenset({"g"})
+    for state, want in [
+        (State("sum_count_average", ("v",), over), {"A": Decimal(50) / 3, "B": Decimal(7)}), (State("weighted_average", ("v", "w"), over), {"A": Decimal(110) / 6, "B": None}),
+        (State("exact_distinct", ("v",), over), {"A": 2, "B": 1}), (State("snapshot_balance", ("v", "t", "k"), over), {"A": 20, "B": None}),
+    ]:
+        parts = state.partial(df, ["g", "d"])
+        got = dict(rows_of(state.finish(state.merge(parts, ["g"], disjoint=True), "x")))
+        assert got == {k: v if not isinstance(v, Decimal) else v.quantize(Decimal(10) ** -18, "ROUND_DOWN") for k, v in want.items()}, state.kind
+        with pytest.raises(CompileError) as e:
+            state.merge(parts, ["d"], disjoint=True)
+        assert e.value.code == "metric_state_dimension"
+    for code, call in [
+        ("metric_state_overlap", lambda: State("sum_count_average", ("v",), over).merge(df, ["g"])), ("metric_state_time_additivity", lambda: State("snapshot_balance", ("v", "t", "k"), over).merge(df, ["g"], across_time=True)),
+        ("metric_state_identity", lambda: State("snapshot_balance", ("v", "t", "t"), over)), ("unsupported_metric_state", lambda: State("median", ("v",), over)),
+    ]:
+        with pytest.raises(CompileError) as e:
+            call()
+        assert e.value.code == code
+
+
+def test_read_sessions(spark, tmp_path):
+    from marlstone.reads import ReadSession
+    from marlstone.reads import read as read_once
+
+    e = Engine(spark)
+    schema = spark.createDataFrame([], "id bigint, v string").schema
+    for n in ("a", "b"):
+        t = Generations(e.spark, f"file://{tmp_path}/{n}")
+        t.create(schema, ("id",))
+        e.bind(n, t)
+    e.register("plain", spark.createDataFrame([(1, "x"), (2, "y")], schema))
+    e.view("both", "select a.id, b.v from a join b on a.id = b.id")
+    first = e.write("insert into a select * from plain")
+    e.write("insert into b select * from plain where id = 1")
+    with ReadSession(e, ["both"], after={"a": int(first.generation)}) as s:
+        assert s.sql("select count(*) as n from both").first().n == 1 and s.report.established == "snapshot"
+        e.write("insert into b select * from plain where id = 2")
+        assert e.sql("select count(*) as n from both").first().n == 2 and s.sql("select count(*) as n from both").first().n == 1
+        assert s.rows(Q.proposal("both", n=Q.agg("count", None, "n"))).result().first().n == 1
+    for code, call in [
+        ("read_session", lambda: s.sql("select * from both")), ("read_external", lambda: ReadSession(e, ["both", "plain"])), ("read_session", lambda: ReadSession(e, [])), ("read_session", lambda: ReadSession(e, ["plain"], external="observe")),
+        ("read_receipt", lambda: ReadSession(e, ["a"], after={"b": 1})), ("read_receipt", lambda: ReadSession(e, ["a"], after={"a": 99})), ("read_external", lambda: read_once(e, "select * from plain", "snapshot")),
+    ]:
+        with pytest.raises(CompileError) as err:
+            call()
+        assert err.value.code == code
+    assert ReadSession(e, ["both", "plain"], external="observe").report.external == ["plain"]
+    assert read_once(e, "select 1 as one")[1].established == "snapshot" and read_once(e, "select * from both")[1].established == "observed"
+    assert read_once(e, "select * from both", "snapshot")[0].count() == 2
+
+
+def test_equivalence_checker(spark):
+    from marlstone.conformance import check_equivalence
+
+    one, two, three = Engine(spark), Engine(spark), Engine(spark)
+    rows = [(1, "a"), (2, "b"), (2, "b")]
+    one.register("t", spark.createDataFrame(rows, "id bigint, v string"))
+    two.register("t", spark.createDataFrame(rows[::-1], "id bigint, v string"))
+    three.register("t", spark.createDataFrame(rows[:2], "id bigint, v string"))
+    check_equivalence(one, two, ["select * from t", "select id, count(*) as n from t group by id order by id", "select * from t order by id limit 2"])
+    for code, other, sql in [("conformance_rows", three, "select * from t"), ("conformance_rows", three, "select id from t order by id"), ("conformance_rows", three, "select count(*) as n from t")]:
+        with pytest.raises(CompileError) as e:
+            check_equivalence(one, other, [sql])
+        assert e.value.code == code
+    three.register("t", spark.createDataFrame([(1, "a")], "id int, v string"))
+    with pytest.raises(CompileError) as e:
+        check_equivalence(one, three, ["select id from t"])
+    assert e.value.code == "conformance_schema"
+
+
+def test_verifier(spark, engine):
+    from dataclasses import replace
+
+    from pyspark.sql import types as T
+
+    from marlstone.plans.verify import verify
+
+    bound = engine.rows(item(a=Q.project("id"), b=Q.project("label")))
+    verify(bound, engine.catalog.current)
+    good = list(bound.slots)
+    for code, change in [("plan_output", lambda b: setattr(b, "slots", [replace(good[0], type=T.StringType()), good[1]])), ("plan_relations", lambda b: setattr(b, "relations", set())), ("plan_shape", lambda b: setattr(b, "frame", b.frame.mapInArrow(lambda it: it, b.frame.schema)))]:
+        broken = engine.rows(item(a=Q.project("id"), b=Q.project("label")))
+        change(broken)
+        with pytest.raises(CompileError) as e:
+            verify(broken, engine.catalog.current)
+        assert e.value.code == code
+
+
+def test_prepared_sql(spark, engine):
+    p = engine.prepare_sql("select id, $2 as tag from items where score >= $1 and active = $3", ["int64", "utf8", "boolean"])
+    assert p.describe() == {"parameters": ["int64", "utf8", "boolean"], "columns": [("id", "bigint"), ("tag", "string")]}
+    assert rows_of(p.bind([10, "it's", True])) == [(1, "it's"), (5, "it's")] and rows_of(p.bind([None, "x", True])) == []
+    for code, call in [
+        ("parameter_type", lambda: p.bind(["10", "x", True])), ("parameter_type", lambda: p.bind([True, "x", True])), ("parameter_count", lambda: p.bind([1])), ("parameter_type", lambda: engine.prepare_sql("select $1", ["uuid"])),
+        ("parameter_count", lambda: engine.prepare_sql("select $2 from items", ["int64"])), ("unknown_relation", lambda: engine.prepare_sql("select $1 from nope", ["int64"])),
+    ]:
+        with pytest.raises(CompileError) as e:
+            call()
+        assert e.value.code == code
+    made = engine.plan_sql("select count(*) as n from items")
+    assert made["relations"] == ["items"] and made["columns"] == [("n", "bigint")] and "Aggregate" in made["plan"]
+
+
+def test_search_follows_publications():
+    from pyspark.sql import types as T
+
+    c = C.Catalog()
+    table = lambda name, *fields, **more: C.Relation(name, T.StructType([T.StructField(f, T.LongType()) for f in fields]), **more)
+    c.publish([table("orders", "order_id", "total", description="what customers bought"), table("customers", "customer_id", meaning=C.Meaning(metrics=(C.Metric("heads", "count", aliases=("customers",)),)))])
+    assert c.search("customers")[0] == ("relation", "customers", 7.0) and ("metric", "customers.heads", 3.0) in c.search("customers") and ("relation", "orders", 1.0) in c.search("customers")
+    c.publish([table("orders", "order_id")])
+    assert [h[:2] for h in c.search("total")] == [] and [h[:2] for h in c.search("order_id")] == [("field", "orders.order_id")]
+    assert c.search("nothing") == [] and len(c.search("customers orders order customer id", 2)) == 2
+
+
+def test_results_are_held_to_their_schema(spark):
+    from marlstone.sources.files import normalise_result
+
+    df = spark.createDataFrame([("1", 2.0), ("7", None)], "a string, b double")
+    strict = spark.createDataFrame([], "a bigint not null, b double").schema
+    assert rows_of(normalise_result(df, strict)) == [(1, 2.0), (7, None)]
+    for schema in ("a bigint, b double not null", "a boolean, b double"):
+        e = Engine(spark)
+        with pytest.raises(Exception):
+            normalise_result(e.adopt(df), spark.createDataFrame([], schema).schema).collect()
+    with pytest.raises(SourceError):
+        normalise_result(df, spark.createDataFrame([], "b double, a string").schema)
