@@ -44,20 +44,27 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], time:
     """Left rows with the values of the right row whose half-open interval holds ``time``.
 
     Two matches fail the query; none gives nulls, or takes the row out (``missing="exclude"``), or fails (``exactly_one``).
-    Rows are numbered where they are, without a shuffle, and matches of a row are counted in the same lineage.
+    The right side is cut at all bounds of a key's intervals first: stretches that one interval covers carry its values, and those that
+    several cover say so.  Stretches don't overlap, so a left row meets one at most, and needs no count.
     """
-    inner = ["__rid", *left.columns]
-    left = left.withColumn("__rid", F.monotonically_increasing_id())
-    chosen = right.select(*(F.col(b).alias(f"__k{i}") for i, (_, b) in enumerate(keys)), F.col(valid_from).alias("__from"), F.col(valid_to).alias("__to"), F.lit(True).alias("__hit"), *(F.col(v).alias(f"__v_{n}") for n, v in values.items()))
-    on = (F.col(time) >= F.col("__from")) & (F.col(time) < F.col("__to"))
-    for i, (a, _) in enumerate(keys):
-        on = on & (left[a] == F.col(f"__k{i}"))
-    joined = left.join(chosen, on, "inner" if missing == "exclude" and not exactly_one else "left")
-    counted = joined.withColumn("__n", F.count("__hit").over(Window.partitionBy("__rid")))
-    ok = F.col("__n") == 1 if exactly_one else F.col("__n") <= 1
-    kinds = {n: right.schema[v].dataType.simpleString() for n, v in values.items()}
-    out = [_must(ok, F.col(f"__v_{n}"), kinds[n], "a row has not exactly one valid match" if exactly_one else "intervals overlap").alias(n) for n in values]
-    return counted.select(*inner[1:], *out)
+    names = [f"__k{i}" for i in range(len(keys))]
+    rows = right.select(*(F.col(b).alias(n) for n, (_, b) in zip(names, keys)), F.col(valid_from).alias("__from"), F.col(valid_to).alias("__to"), *(F.col(v).alias(f"__v_{n}") for n, v in values.items()))
+    rows = rows.where(" and ".join(["__from < __to", *(f"{n} is not null" for n in names)]))
+    state = F.struct("__to", *(f"__v_{n}" for n in values))
+    begun = rows.select(*names, F.col("__from").alias("__t"), F.lit(1).alias("__d"), state.alias("__s"))
+    ended = rows.select(*names, F.col("__to").alias("__t"), F.lit(-1).alias("__d"), F.when(F.lit(False), state).alias("__s"))
+    bounds = begun.unionByName(ended).groupBy(*names, "__t").agg(F.sum("__d").alias("__d"), F.max("__s").alias("__s"))
+    order = Window.partitionBy(*names).orderBy("__t")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # where one interval is open, it is the one of those begun that ends last
+    cut = bounds.select(*names, F.col("__t").alias("__since"), F.lead("__t").over(order).alias("__until"), F.sum("__d").over(so_far).alias("__open"), F.max("__s").over(so_far).alias("__s")).where("__open > 0")
+    on = (F.col(time) >= F.col("__since")) & (F.col(time) < F.col("__until"))
+    for n, (a, _) in zip(names, keys):
+        on = on & (left[a] == F.col(n))
+    joined = left.join(cut, on, "inner" if missing == "exclude" and not exactly_one else "left")
+    ok = F.coalesce(F.col("__open") == 1, F.lit(not exactly_one))
+    message = "a row has not exactly one valid match" if exactly_one else "intervals overlap"
+    return joined.select(*left.columns, *(_must(ok, F.col("__s")[f"__v_{n}"], right.schema[v].dataType.simpleString(), message).alias(n) for n, v in values.items()))
 
 
 def exactly_one(left: DataFrame, right: DataFrame, key: tuple[Column, str], values: dict[str, str]) -> DataFrame:

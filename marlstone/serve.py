@@ -49,12 +49,21 @@ def handler(engine, concurrent: int = 4):
                 return self.reply(429, {"error": "busy"})
             try:
                 made = {
-                    "/v1/compile/query": lambda: engine.rows(body), "/v1/compile/graph": lambda: engine.graph(body), "/v1/compile/intent": lambda: engine.compile_with_evidence(body),
+                    "/v1/compile/query": lambda: engine.rows(body), "/v1/compile/graph": lambda: engine.graph(body), **dict.fromkeys(("/v1/compile/intent", "/v1/compile/graph-intent"), lambda: engine.compile_with_evidence(body)),
                     "/v1/compile/prepared-row": lambda: engine.prepare(body["query"], body["contract"]).bind(body["values"]),
                 }
-                if self.path in made:
+                if self.path == "/compile":
+                    said = engine.outcome(body)
+                    self.reply(200 if said["status"] == "compiled" else 422, said)
+                elif self.path in made:
                     bound = made[self.path]()
                     self.reply(200, {"status": "compiled", "snapshot": engine.catalog.current.id, "columns": contract(bound), "relations": sorted(bound.relations)})
+                elif self.path == "/v1/plan/sql":
+                    self.reply(200, engine.plan_sql(body["sql"]))
+                elif self.path == "/v1/describe/sql":
+                    self.reply(200, engine.prepare_sql(body["sql"], body["types"]).describe())
+                elif self.path == "/v1/search":
+                    self.reply(200, {"hits": [{"kind": k, "name": n, "weight": w} for k, n, w in engine.catalog.search(body["terms"], body.get("limit", 64))]})
                 elif self.path == "/sql":
                     df = engine.sql(body["sql"], body.get("parameters"))
                     rows = df.limit(MOST_ROWS + 1).collect()

@@ -266,12 +266,31 @@ class Engine:
         return b
 
     def compile_with_evidence(self, intent: Mapping, **options) -> Bound:
-        """A row query whose every requirement names the bytes of the request it comes from."""
-        from marlstone.plans.evidence import check
+        """A row query or a graph whose every part names the bytes of the request it comes from."""
+        from marlstone.plans import evidence
 
-        check(intent)
+        if "nodes" in intent["query"]:
+            evidence.check_graph(intent)
+            return self.graph(intent["query"], **options)
+        evidence.check(intent)
         return self.rows(intent["query"], **options)
 
+    def outcome(self, intent: Mapping, **options) -> dict:
+        """What became of a proposal: compiled with its columns and relations, in need of clarification, or rejected with the rule it broke."""
+        from marlstone.plans.replay import contract
+        from marlstone.plans.verify import verify
+
+        try:
+            if "evidence" in intent:
+                bound = self.compile_with_evidence(intent, **options)
+            else:
+                bound = (self.graph if "nodes" in intent else self.rows)(intent, **options)
+            verify(bound, self.catalog.current)
+        except CompileError as e:
+            status = "needs_clarification" if e.code in ("unresolved_alternatives", "unresolved_terms") or e.code.startswith("ambiguous_") else "rejected"
+            return {"status": status, "code": e.code, "requirement": e.requirement, "message": str(e)}
+        return {"status": "compiled", "snapshot": self.catalog.current.id, "columns": contract(bound), "relations": sorted(bound.relations)}
+
     def prepare(self, query: Mapping, contract: Mapping[str, str]) -> "Prepared":
         return Prepared(self, query, contract)
 

@@ -141,7 +141,9 @@ def test_access_scope_and_evidence(engine):
     with pytest.raises(CompileError) as e:
         engine.rows(item(a=Q.project("id")), allowed=set())
     assert e.value.code == "access_scope"
-    intent = {"query": item(a=Q.project("id")), "evidence": {"version": 1, "request_id": "1", "original_request": "é ids", "requirement_spans": {"a": [{"start": 3, "end": 6}]}, "unresolved_alternatives": []}}
+    query = item(a=Q.project("id"))
+    query["requirements"][0]["source_text"] = "ids"
+    intent = {"query": query, "evidence": {"version": 1, "request_id": "1", "original_request": "é ids", "requirement_spans": {"a": [{"start": 3, "end": 6}]}, "unresolved_alternatives": []}}
     assert engine.compile_with_evidence(intent).result().count() == 5
     intent["evidence"]["requirement_spans"]["a"] = [{"start": 1, "end": 3}]
     with pytest.raises(CompileError):
@@ -595,3 +597,55 @@ def test_results_are_held_to_their_schema(spark):
             normalise_result(e.adopt(df), spark.createDataFrame([], schema).schema).collect()
     with pytest.raises(SourceError):
         normalise_result(df, spark.createDataFrame([], "b double, a string").schema)
+
+
+def test_as_of_equals_brute_force(spark):
+    from marlstone.operators.joins import as_of
+
+    rng = random.Random(51)
+    spans = [(rng.choice("ab"), a := rng.randint(0, 40), a + rng.randint(-1, 6), i) for i in range(60)] + [(None, 0, 50, 99), ("a", None, 3, 98), ("c", 5, 10, None)]
+    facts = [(i, rng.choice(["a", "b", "c", "d", None]), rng.randint(0, 45)) for i in range(200)]
+    right = spark.createDataFrame(spans, "key string, since int, until int, mark int")
+
+    def matches(k, t):
+        return [m for key, a, b, m in spans if key is not None and key == k and a is not None and a <= t < b]
+
+    clear = [f for f in facts if len(matches(*f[1:])) < 2]
+    assert 40 < len(clear) < 200
+    left = spark.createDataFrame(clear, "id int, k string, t int")
+    ask = lambda df, **more: as_of(df, right, [("k", "key")], "t", "since", "until", {"found": "mark"}, **more)
+    assert rows_of(ask(left)) == sorted(((i, k, t, next(iter(matches(k, t)), None)) for i, k, t in clear), key=str)
+    assert rows_of(ask(left, missing="exclude")) == sorted(((i, k, t, matches(k, t)[0]) for i, k, t in clear if matches(k, t)), key=str)
+    one = spark.createDataFrame([f for f in clear if len(matches(*f[1:])) == 1], left.schema)
+    assert ask(one, exactly_one=True).count() == one.count()
+    with pytest.raises(Exception):
+        ask(spark.createDataFrame([next(f for f in facts if len(matches(*f[1:])) > 1)], left.schema)).collect()
+    with pytest.raises(Exception):
+        ask(spark.createDataFrame([next(f for f in facts if not matches(*f[1:]))], left.schema), exactly_one=True).collect()
+
+
+def test_graph_evidence_and_outcomes(engine):
+    rows = item(a=Q.project("id"))
+    rows["requirements"][0]["source_text"] = "ids"
+    graph = Q.graph({"r": {"kind": "rows", "query": rows}, "f": {"kind": "filter", "input": "r", "predicate": Q.compare("", "gt", "int64", 2, {"slot": "a"})}}, "f", [{"slot": "a", "direction": "asc", "nulls": "last"}], 2)
+    graph["nodes"][0]["source_text"], graph["nodes"][1]["source_text"] = "ids of items", "over 2"
+    request = "two ids of items over 2, in order"
+    at = lambda *words: [{"start": request.index(w), "end": request.index(w) + len(w)} for w in words]
+    entries = [({"kind": "node", "node": "r"}, at("ids of items")), ({"kind": "leaf", "node": "r", "requirement": "a"}, at("ids")), ({"kind": "node", "node": "f"}, at("over 2")), ({"kind": "order", "index": 0}, at("in order")), ({"kind": "limit"}, at("two"))]
+
+    def intent(entries, **more):
+        return {"query": graph, "evidence": {"version": 1, "request_id": "r1", "original_request": request, "requirements": [{"target": t, "source_spans": s} for t, s in entries], "unresolved_alternatives": [], **more}}
+
+    assert rows_of(engine.compile_with_evidence(intent(entries)).result()) == [(3,), (4,)]
+    said = engine.outcome(intent(entries))
+    assert said["status"] == "compiled" and said["columns"] == [["id", "bigint", None]]
+    for code, bad in [
+        ("request_coverage", entries[:-1]), ("request_coverage", [*entries, entries[0]]), ("request_span", [(entries[0][0], at("ids")), *entries[1:]]), ("request_coverage", [(entries[0][0], []), *entries[1:]]),
+        ("request_span", [*entries[:-1], ({"kind": "limit"}, [{"start": 3, "end": 4}])]), ("request_coverage", [*entries[:-1], ({"kind": "output", "node": "f", "slot": "a"}, at("two"))]),
+    ]:
+        with pytest.raises(CompileError) as e:
+            engine.compile_with_evidence(intent(bad))
+        assert e.value.code == code
+    assert engine.outcome(intent(entries, unresolved_alternatives=["which items"]))["status"] == "needs_clarification"
+    assert engine.outcome(intent(entries, version=2))["code"] == "request_evidence"
+    assert engine.outcome(item(a=Q.project("nope")))["code"] == "unknown_field" and engine.outcome(item(a=Q.project("id")))["relations"] == ["items"]

@@ -66,6 +66,10 @@ def test_project_and_commands(spark, folder):
     assert run(e, "sql", ["drop table wells"], said.append) == 1 and run(e, "nonsense", [], said.append) == 2
     (folder / "q.json").write_text(json.dumps(q))
     assert run(e, "compile", [str(folder / "q.json")], said.append) == 0 and json.loads(said[-1])[1] == ["total", "bigint", None]
+    (folder / "p.json").write_text(json.dumps({"query": Q.proposal("wells", k=Q.project("well"), f=Q.where({"kind": "compare_parameter", "field": Q.fld("basin"), "operator": "eq", "parameter": "b"})), "contract": {"b": "utf8"}, "values": {"b": {"type": "utf8", "value": "A"}}}))
+    assert run(e, "compile-prepared", [str(folder / "p.json")], said.append) == 0 and json.loads(said[-1])[0][0] == "well"
+    assert run(e, "plan", ["select count(*) as n from deep"], said.append) == 0 and json.loads(said[-2])["relations"] == ["deep"]
+    assert run(e, "search", ["metres"], said.append) == 0 and said[-1].startswith("metric wells.total_depth")
     assert run(e, "inspect", [], said.append) == 0 and run(e, "validate", [], said.append) == 0
 
     answer = interpret(e, "total metres of deep wells", Scripted([{"status": "query", "query": bad}, {"status": "query", "query": q}]))
@@ -100,6 +104,10 @@ def test_project_and_commands(spark, folder):
     assert post("/v1/compile/query", q)[1]["status"] == "compiled"
     assert post("/v1/compile/query", bad)[0:1] == (422,) and post("/v1/compile/query", bad)[1]["code"] == "unknown_concept"
     assert post("/sql", {"sql": "select count(*) as n from deep"})[1]["rows"] == [[2]]
+    assert post("/compile", q)[1]["status"] == "compiled" and post("/compile", bad)[0] == 422
+    assert post("/v1/plan/sql", {"sql": "select * from deep"})[1]["below"] and post("/v1/search", {"terms": "basin"})[1]["hits"][0]["kind"] == "field"
+    assert post("/v1/describe/sql", {"sql": "select basin from deep where depth > $1", "types": ["int64"]})[1]["columns"] == [["basin", "string"]]
+    assert post("/sql", {"sql": "select reflect('java.lang.Math', 'random') as r from deep"})[0] == 422
     assert post("/sql", {"sql": "x" * 20000})[0] == 413 and post("/none", {})[0] == 404
     server.shutdown()
 
