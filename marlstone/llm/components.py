@@ -14,11 +14,11 @@ JUMP_EVERY = 4
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``label`` (the least node of its component) for every node of ``links`` (columns ``a``, ``b``, of one type).
 
-    Every round, nodes send their labels along their links and keep the least they have.  Links and labels are checkpointed as they
-    lie, by node, so that a round shuffles the messages alone, of which each task sends one per node at most.
+    Every round, nodes send their labels along their links and keep the least they have; each task sends a node one message at most.  Links
+    are checkpointed as they come and shuffled by node for every round, so that those of a node with very many are split under the join.
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b")
-    edges = checkpointed(both.dropDuplicates(["a", "b"]).repartition("a"))
+    edges = checkpointed(both.dropDuplicates(["a", "b"]))
     labels = checkpointed(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")))
     turn = 0
     while True:

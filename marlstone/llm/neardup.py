@@ -5,8 +5,8 @@
    common buckets (two texts at the threshold miss each other in all of them about three times in 100,000).
 3. In every bucket, each member is compared with one leader: the member whose buckets are fullest, which in a group of
    copies tends to be their original.  That is linear in the bucket, and settles what is alike.
-4. Buckets whose members are still in several components are compared in blocks: intersections of all pairs of a block pair are
-   one matrix product, and only links that join components come out.
+4. Buckets whose members are still in several components are compared in blocks of texts of like size: intersections of all pairs of a block pair
+   are one matrix product, and only links that join components come out.
 5. Classes are the connected components of the links.
 
 Shingles weigh one each by default, so that the similarity is the Jaccard similarity of the shingle sets; with
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.components import components
 from marlstone.llm.dartminhash import signatures
-from marlstone.llm.shared import arrow_rows, written
+from marlstone.llm.shared import Scratch, arrow_rows, written
 from marlstone.llm.textbatch import Words, mix, pieces, windows
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -144,6 +144,30 @@ def block_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
 
 
+def duels(scratch: Scratch, members: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of blocks of a bucket's members (``bucket``, ``key``, ``comp``, ``shingles``) that can hold similar texts: ``left``, ``right`` and whether these are ``same``.
+
+    Blocks hold texts of one class of size; similar texts are of the same class or of neighbouring ones.  Pairs are listed by number and dealt
+    out before the members join them, each block by its own name, so that a full bucket is spread over tasks.
+    """
+    wide = float(-np.log(min(threshold, 0.99))) * (1 + 1e-9)  # a little more than sizes of similar texts may differ by
+    sized = members.withColumn("size", F.floor(F.log(F.greatest(F.size("shingles"), F.lit(1)).cast("double")) / wide).cast("int"))
+    sized = scratch.written(sized, "open")
+    parts = scratch.written(sized.groupBy("bucket", "size").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")), "parts")
+    block = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
+    placed = sized.join(parts, ["bucket", "size"]).withColumn("block", block).repartition("bucket", "size", "block")
+    blocks = scratch.written(placed.groupBy("bucket", "size", "block").agg(F.collect_list(F.struct("key", "comp", "shingles")).alias("members")), "blocks")
+    above = parts.select("bucket", (F.col("size") - 1).alias("size"), F.col("parts").alias("more"))
+    each = parts.join(above, ["bucket", "size"], "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    own = F.transform(F.sequence("block", F.col("parts") - 1), lambda k: F.struct(F.col("size").alias("size"), k.alias("block")))
+    next_ = F.when(F.col("more") > 0, F.transform(F.sequence(F.lit(0), F.col("more") - 1), lambda k: F.struct((F.col("size") + 1).alias("size"), k.alias("block")))).otherwise(F.expr("array()"))
+    listed = each.repartition("bucket", "size", "block").select("bucket", "size", "block", F.explode(F.concat(own, next_)).alias("other"))
+    left = blocks.withColumnRenamed("members", "left")
+    right = blocks.select("bucket", F.struct("size", "block").alias("other"), F.col("members").alias("right"))
+    same = (F.col("other.size") == F.col("size")) & (F.col("other.block") == F.col("block"))
+    return listed.join(left, ["bucket", "size", "block"]).join(right, ["bucket", "other"]).select("left", "right", same.alias("same"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, weighted: bool = False, row_col: str | None = None) -> DataFrame:
     """One row per document: ``doc_id``, ``class_id`` (least id of its class), ``class_size`` (documents) and ``n_texts`` (distinct texts) of the class.
 
@@ -152,36 +176,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     own = ["row"] if row_col else []
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), *(docs[row_col].alias(c) for c in own), docs[text_col].alias("text"))
-    made = written(profiles(src, weighted), "profiles")
-    texts = made.where("bands is not null").groupBy("key").agg(F.first("bands").alias("bands"))
-    banded = texts.select("key", F.explode("bands").alias("bucket"))
-    sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    hits = written(banded.join(sizes, "bucket"), "hits")
-    score = hits.groupBy("key").agg(F.sum("n").alias("score"))
-    leaders = hits.join(score, "key").groupBy("bucket").agg(F.max(F.struct("score", "key")).alias("top")).select("bucket", F.col("top.key").alias("leader"))
-    pairs = hits.join(leaders, "bucket").where("key <> leader").select("leader", "key").distinct()
-    sets = written(made.where("shingles is not null").select("key", "shingles").join(hits.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "sets")
-    both = pairs.join(sets, "key").join(sets.select(F.col("key").alias("leader"), F.col("shingles").alias("s")), "leader")
-    common = F.size(F.array_intersect("shingles", "s"))
-    linked = written(both.where(common >= threshold * (F.size("shingles") + F.size("s") - common) - 1e-6).select(F.col("leader").alias("a"), F.col("key").alias("b")), "links")
-    labels = components(linked)
-
-    placed = hits.select("bucket", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("comp"))
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
-    open_ = placed.join(mixed.select("bucket", "n"), "bucket").join(sets, "key")
-    block = F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / BLOCK))
-    blocks = written(open_.groupBy("bucket", block.alias("block")).agg(F.collect_list(F.struct("key", "comp", "shingles")).alias("members")), "blocks")
-    left, right = blocks.select("bucket", "block", F.col("members").alias("left")), blocks.select("bucket", F.col("block").alias("other"), F.col("members").alias("right"))
-    duels = left.join(right, "bucket").where("block <= other").select("left", "right", (F.col("block") == F.col("other")).alias("same"))
-    more = duels.mapInArrow(lambda it: block_links(it, threshold), "a binary, b binary")
-    with arrow_rows(docs.sparkSession, DUELS):
-        more = written(more, "links")
-    labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
-
-    classed = made.select("doc_id", *own, "key").join(labels.withColumnRenamed("node", "key"), "key", "left").select("doc_id", *own, "key", F.coalesce("label", "key").alias("label"))
-    classed = written(classed, "classes")
+    with Scratch(docs.sparkSession) as scratch:
+        made = scratch.written(profiles(src, weighted), "profiles")
+        texts = made.where("bands is not null").groupBy("key").agg(F.first("bands").alias("bands"))
+        banded = texts.select("key", F.explode("bands").alias("bucket"))
+        # what is joined by bucket, leader or class is written first, so that the side with a row per text lies under the join as it was
+        # shuffled, and is split there if one key has much of it
+        sizes = scratch.written(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+        hits = scratch.written(banded.join(sizes, "bucket"), "hits")
+        score = hits.groupBy("key").agg(F.sum("n").alias("score"))
+        leaders = scratch.written(hits.join(score, "key").groupBy("bucket").agg(F.max(F.struct("score", "key")).alias("top")).select("bucket", F.col("top.key").alias("leader")), "leaders")
+        pairs = hits.join(leaders, "bucket").where("key <> leader").select("leader", "key").distinct()
+        sets = scratch.written(made.where("shingles is not null").select("key", "shingles").join(hits.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "sets")
+        both = pairs.join(sets, "key").join(sets.select(F.col("key").alias("leader"), F.col("shingles").alias("s")), "leader")
+        common = F.size(F.array_intersect("shingles", "s"))
+        linked = scratch.written(both.where(common >= threshold * (F.size("shingles") + F.size("s") - common) - 1e-6).select(F.col("leader").alias("a"), F.col("key").alias("b")), "links")
+        labels = components(linked)
+
+        placed = hits.select("bucket", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("comp"))
+        mixed = scratch.written(placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket"), "mixed")
+        more = duels(scratch, placed.join(mixed, "bucket").join(sets, "key"), threshold).mapInArrow(lambda it: block_links(it, threshold), "a binary, b binary")
+        with arrow_rows(docs.sparkSession, DUELS):
+            more = scratch.written(more, "links")
+        labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
+
+        classed = made.select("doc_id", *own, "key").join(labels.withColumnRenamed("node", "key"), "key", "left").select("doc_id", *own, "key", F.coalesce("label", "key").alias("label"))
+        classed = written(classed, "classes")
     least = lambda c: [F.min(c).alias("first")] if own else []
     summary = classed.groupBy("label", "key").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"), *least(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *own)))
-    summary = summary.groupBy("label").agg(F.min("low").alias("class_id"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("n_texts"), *least(F.col("first")))
+    summary = written(summary.groupBy("label").agg(F.min("low").alias("class_id"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("n_texts"), *least(F.col("first"))), "summary")
     out = classed.select("doc_id", *own, "label").join(summary, "label")
     return out.select("doc_id", "class_id", "class_size", "n_texts", *own, *(F.col("first.row").alias("first_row") for _ in own))
