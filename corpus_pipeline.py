@@ -25,16 +25,27 @@ from marlstone.llm.transducer import bpe_round_trip
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.2
+#: Rows that go to a Python worker at a time, unless the session says otherwise: operators cut what comes into pieces of a few MB anyway.
+ROWS = 2000
+
+
+def modest(spark: SparkSession) -> None:
+    """Small batches to Python workers, whose rows are whole texts here."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > ROWS:
+        spark.conf.set(name, ROWS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; ``lang`` is the one found."""
+    modest(spark)
     found = identify_languages(docs, keep=("text", "source", "n_chars"))
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every near-duplicate class: the one with the least id, nulls last; of rows with that id, one text, chosen by its digest, once."""
+    modest(spark)
     docs = docs.withColumn("row", F.md5(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.md5("text"))))
     kept = near_duplicates(docs, row_col="row").where(F.col("row") == F.col("first_row")).select("row").distinct()
     return docs.join(kept, "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
@@ -42,6 +53,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated passages."""
+    modest(spark)
     left = substring_dedup(docs, outputs=("n_removed", "kept"), keep=("text", "lang", "source", "n_chars"))
     cut = F.col("n_removed") > 0
     return left.select("doc_id", F.when(cut, F.col("kept")).otherwise(F.col("text")).alias("text"), "lang", "source", F.when(cut, F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
@@ -49,12 +61,14 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    modest(spark)
     found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=COLUMNS[1:])
     return found.where(~F.col("contaminated")).select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the documents, as digests."""
+    modest(spark)
     return bpe_round_trip(docs, keep=("source", "lang"))
 
 
