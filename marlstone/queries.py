@@ -679,6 +679,8 @@ def sql_writes(spark, sf):
 def _folder(spark: SparkSession) -> str:
     """A new folder that all machines see: under the checkpoint folder, or a local one where there is none."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all machines see")
     return f"{shared.rstrip('/')}/tables-{uuid.uuid4().hex}" if shared else "file://" + tempfile.mkdtemp(prefix="marlstone-")
 
 
