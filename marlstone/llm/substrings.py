@@ -259,8 +259,8 @@ def strip(texts: pa.Array, stretches: pa.Array) -> tuple[list[bytes], np.ndarray
     return [flat[a : max(a, b - 1)] for a, b in zip(begins.tolist(), ends.tolist())], n_words, n_words - count
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, outputs: tuple[str, ...] = ("n_words", "n_removed", "kept_sha256"), keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document with what is left of its text.
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, outputs: tuple[str, ...] = ("n_words", "n_removed", "kept_sha256"), keep: tuple[str, ...] = (), max_bits: int = MAX_BITS) -> DataFrame:
+    """One row per document with what is left of its text; a row of the sketch, which every task gets, has ``2**max_bits`` cells at most.
 
     ``outputs``: ``n_words``, ``n_removed``, ``kept`` (the words left, joined by one space) and ``kept_sha256``.
     """
@@ -268,7 +268,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("a window has one word at least")
     text_only = docs.select(docs[text_col].alias("text")).where(F.col("text").isNotNull())
     size = text_only.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(MAX_BITS, max(MIN_BITS, int(size // 16).bit_length()))
+    bits = min(max_bits, max(MIN_BITS, int(size // 16).bit_length()))
     found = repeats(text_only, bits, repeated_cells(text_only, bits, width), width, max(16, int(size // SHARD_BYTES)))
     # written first, so that the documents lie under the join as they were shuffled, and copies of one text are split there if there are very many
     per_text = written(found.groupBy("md5").agg(F.collect_set("stretches").alias("stretches")), "stretches")
