@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import re
 import threading
 import uuid
+from collections import OrderedDict
 from collections.abc import Callable, Iterator, Mapping
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -29,6 +32,8 @@ REFUSED = {
     "reflect", "java_method", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length", "spark_partition_id", "monotonically_increasing_id",
     "current_catalog", "current_database", "current_schema", "current_user", "session_user", "user", "version", "current_path", "raise_error", "assert_true",
 }
+#: Compiled proposals that an engine keeps.
+COMPILED = 256
 #: Functions that may stand for a relation, or make rows (fixed values).
 GENERATORS = {"range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple"}
 
@@ -114,6 +119,7 @@ class Engine:
         self.catalog = C.Catalog()
         self.lock = threading.Lock()
         self.plans: dict[tuple[int, str], DataFrame] = {}
+        self.proposals: OrderedDict[tuple, Bound] = OrderedDict()
         self.unopened: dict[str, Callable[[], DataFrame]] = {}
         self.bindings: dict[str, Generations] = {}
         self.opening = threading.RLock()
@@ -237,6 +243,7 @@ class Engine:
             self.adopt(self.bindings[name].read()).createOrReplaceTempView(name)
             with self.lock:  # views over the relation are analysed anew, and plans of earlier states go
                 self.plans.clear()
+                self.proposals.clear()
                 for v in self.catalog.impact(name):
                     self.spark.sql(self.catalog.current.relation(v).sql).createOrReplaceTempView(v)
         return receipt
@@ -254,10 +261,26 @@ class Engine:
     # -- typed queries ---------------------------------------------------------------------------------------
 
     def rows(self, query: Mapping, allowed: set[str] | None = None, context: TimeContext | None = None, parameters: Mapping | None = None) -> Bound:
-        return self.bound(RowCompiler(self.catalog.current, self.table, allowed, context, parameters).compile(query), allowed)
+        make = lambda: RowCompiler(self.catalog.current, self.table, allowed, context, parameters).compile(query)
+        return self.compiled(("rows", query, sorted(allowed) if allowed is not None else None, repr(context), parameters), make, allowed)
 
     def graph(self, query: Mapping, allowed: set[str] | None = None, context: TimeContext | None = None) -> Bound:
-        return self.bound(GraphCompiler(lambda: RowCompiler(self.catalog.current, self.table, allowed, context)).compile(query), allowed)
+        make = lambda: GraphCompiler(lambda: RowCompiler(self.catalog.current, self.table, allowed, context)).compile(query)
+        return self.compiled(("graph", query, sorted(allowed) if allowed is not None else None, repr(context)), make, allowed)
+
+    def compiled(self, what: tuple, make: Callable[[], Bound], allowed: set[str] | None) -> Bound:
+        """What the same proposal gave under the same catalog, scope, context and parameters (the latest ``COMPILED`` are kept), or what it gives now."""
+        key = (self.catalog.current.revision, json.dumps(what, sort_keys=True, default=repr))
+        with self.lock:
+            if key in self.proposals:
+                self.proposals.move_to_end(key)
+                return replace(self.proposals[key])
+        made = self.bound(make(), allowed)
+        with self.lock:
+            self.proposals[key] = made
+            while len(self.proposals) > COMPILED:
+                self.proposals.popitem(last=False)
+        return replace(made)
 
     def bound(self, b: Bound, allowed: set[str] | None) -> Bound:
         """Tie a compiled query to the snapshot and the scope it was compiled under; both are checked again when it is run."""

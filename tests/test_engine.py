@@ -649,3 +649,23 @@ def test_graph_evidence_and_outcomes(engine):
     assert engine.outcome(intent(entries, unresolved_alternatives=["which items"]))["status"] == "needs_clarification"
     assert engine.outcome(intent(entries, version=2))["code"] == "request_evidence"
     assert engine.outcome(item(a=Q.project("nope")))["code"] == "unknown_field" and engine.outcome(item(a=Q.project("id")))["relations"] == ["items"]
+
+
+def test_compiled_proposals_are_kept_while_nothing_changes(spark, tmp_path):
+    e = Engine(spark)
+    schema = spark.createDataFrame([], "id bigint").schema
+    t = Generations(e.spark, f"file://{tmp_path}/t")
+    t.create(schema, ("id",))
+    e.bind("items", t)
+    e.register("src", spark.createDataFrame([(1,), (2,)], schema))
+    q = Q.proposal("items", n=Q.agg("count", None, "n"))
+    one = e.rows(q)
+    assert e.rows(json.loads(json.dumps(q))).frame is one.frame and e.rows(q, allowed={"items"}).frame is not one.frame and e.rows(q, context=Q.AT).frame is not one.frame
+    assert one.result().first().n == 0
+    e.write("insert into items select * from src")
+    assert e.rows(q).frame is not one.frame and e.rows(q).result().first().n == 2
+    two = e.rows(q)
+    e.register("more", spark.range(1))
+    assert e.rows(q).frame is not two.frame
+    p = Q.proposal("src", k=Q.project("id"), f=Q.where({"kind": "compare_parameter", "field": Q.fld("id"), "operator": "eq", "parameter": "p"}))
+    assert [e.prepare(p, {"p": "int64"}).bind({"p": {"type": "int64", "value": v}}).result().first().id for v in (1, 2)] == [1, 2]
