@@ -2,7 +2,8 @@
 
 Vectors, less the mean of a sample and brought to unit length, go through pseudo-rotations (three rounds of random signs and a fast Hadamard
 transform); a table's code is the signed axis nearest to the rotated vector, together with the nearest of some axes of a second
-rotation.  There are about as many buckets as a ``FILL``-th of the vectors.  A query probes, in every table, the buckets whose axes lie
+rotation.  There are about as many buckets as vectors (one for ``FILL`` of them), up to ``MOST_BUCKETS`` and to what two rotations give: the finer they
+are, the fewer vectors that are not near the probes bring along.  A query probes, in every table, the buckets whose axes lie
 nearest; what the tables collect, and nothing else, is ranked by exact Euclidean distance on the original vectors.
 
 How many buckets are probed is measured, not set: on a sample of at most ``SAMPLE`` vectors of each length, the neighbours of
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.shared import Scratch, filesystem, shared_path, written
 
-TABLES, FILL, MOST_BUCKETS = 24, 16, 1 << 16
-SAMPLE, ASKED, RECALL = 8192, 256, 0.96
+TABLES, FILL, MOST_BUCKETS = 24, 1, 1 << 16
+SAMPLE, ASKED, RECALL = 8192, 256, 0.95
 LENGTHS = 16
 QUERY_BLOCK = 4096
 SEED = 20
