@@ -144,18 +144,18 @@ def block_links(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], ["a", "b"])
 
 
-def duels(scratch: Scratch, members: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of blocks of a bucket's members (``bucket``, ``key``, ``comp``, ``shingles``) that can hold similar texts: ``left``, ``right`` and whether these are ``same``.
+def duels(scratch: Scratch, members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of blocks of a bucket's members (``bucket``, ``key``, ``comp``) that can hold similar texts: ``left``, ``right`` and whether these are ``same``.
 
     Blocks hold texts of one class of size; similar texts are of the same class or of neighbouring ones.  Pairs are listed by number and dealt
-    out before the members join them, each block by its own name, so that a full bucket is spread over tasks.
+    out before the members join them, each block by its own name, so that a full bucket is spread over tasks.  Shingles join last.
     """
     wide = float(-np.log(min(threshold, 0.99))) * (1 + 1e-9)  # a little more than sizes of similar texts may differ by
-    sized = members.withColumn("size", F.floor(F.log(F.greatest(F.size("shingles"), F.lit(1)).cast("double")) / wide).cast("int"))
-    sized = scratch.written(sized, "open")
+    size = F.floor(F.log(F.greatest(F.size("shingles"), F.lit(1)).cast("double")) / wide).cast("int").alias("size")
+    sized = scratch.written(members.join(sets.select("key", size), "key"), "open")
     parts = scratch.written(sized.groupBy("bucket", "size").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")), "parts")
     block = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
-    placed = sized.join(parts, ["bucket", "size"]).withColumn("block", block).repartition("bucket", "size", "block")
+    placed = sized.join(parts, ["bucket", "size"]).withColumn("block", block).join(sets, "key").repartition("bucket", "size", "block")
     blocks = scratch.written(placed.groupBy("bucket", "size", "block").agg(F.collect_list(F.struct("key", "comp", "shingles")).alias("members")), "blocks")
     above = parts.select("bucket", (F.col("size") - 1).alias("size"), F.col("parts").alias("more"))
     each = parts.join(above, ["bucket", "size"], "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         placed = hits.select("bucket", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("label", "key").alias("comp"))
         mixed = scratch.written(placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket"), "mixed")
-        more = duels(scratch, placed.join(mixed, "bucket").join(sets, "key"), threshold).mapInArrow(lambda it: block_links(it, threshold), "a binary, b binary")
+        more = duels(scratch, placed.join(mixed, "bucket"), sets, threshold).mapInArrow(lambda it: block_links(it, threshold), "a binary, b binary")
         with arrow_rows(docs.sparkSession, DUELS):
             more = scratch.written(more, "links")
         labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more))
