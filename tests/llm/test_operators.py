@@ -433,6 +433,31 @@ def test_lm_scores_learn_from_rows_outside_the_sample(spark, words):
     assert two > one + 10
 
 
+def test_lm_scores_train_on_every_subword(spark, words, monkeypatch):
+    from marlstone.llm import lmscore
+    from marlstone.llm.attention import AttentionModel
+
+    rng = random.Random(13)
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    texts = [say(2000), say(700), "", say(1), *(say(rng.randint(1, 90)) for _ in range(40))]
+    fitted, fit = [], lmscore.Scorer.fit
+    monkeypatch.setattr(lmscore.Scorer, "fit", lambda self, *what: (fitted.append(what), fit(self, *what))[1])
+    rows = score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), sample=2, steps=2).collect()
+    sub = subwords(bpe.default_path(), MERGES)
+    learned = pa.array([texts[r.doc_id] for r in rows if not r.held_out])
+    ids, first, _ = sub.texts(Words(lowered(learned)))
+    # the weights of pairs are fitted on every subword of all tasks, that of frequent words on every word and end
+    (held,) = fitted[0]
+    assert held[:-1].sum() == len(ids) and held[-1].sum() == rows[0].train_tokens
+    # a task learns every subword once, after the one before it
+    m, met = AttentionModel(sub.size, np.arange(sub.size)), Counter()
+    trainer = lmscore.Trainer(lmscore.Scorer(m, lmscore.PairBlend(np.ones((sub.size + 1, sub.size), np.int64)), (np.empty(0, np.uint64), np.empty(0, np.int64)), 0))
+    step = trainer.adam.step
+    trainer.adam.step = lambda x, y, used, rate: (met.update(zip(x[used].tolist(), y[used].tolist())), step(x, y, used, rate))[1]
+    assert (trainer.learn(ids, first) < 0).all()
+    assert met == Counter(pair for a, z in zip(first, first[1:]) for pair in zip([sub.size, *ids[a : z - 1].tolist()], ids[a:z].tolist()))
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(5)
     v = rng.standard_normal((600, 20))
