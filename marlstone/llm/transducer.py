@@ -42,8 +42,8 @@ _open: dict[str, "Lexicon"] = {}
 def frequent_chunks(docs: DataFrame, text_col: str = "text", size: int = LEXICON_WORDS) -> list[str]:
     """The most frequent white-space-delimited chunks of all documents: all that reach the least count that ``size`` of them allow.
 
-    Each task adds up its own chunks and leaves out those it met once, so a frequent chunk's count is
-    understated by at most the number of tasks.
+    Counts are exact: every occurrence of a chunk of up to ``MAX_WORD_BYTES`` is counted, however few a task meets. Longer ones
+    are not compiled, which bounds the lexicon's bytes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,10 +59,10 @@ def frequent_chunks(docs: DataFrame, text_col: str = "text", size: int = LEXICON
             new = pa.table({"word": c.field("values"), "n": c.field("counts")})
             held = merged([held, new]) if held is not None else new
             if held.num_rows > COUNTED_CHUNKS:  # keeps a worker's memory bounded over very long partitions
-                yield from held.filter(pa.compute.greater(held["n"], 1)).to_batches()
+                yield from held.to_batches()
                 held = None
         if held is not None:
-            yield from held.filter(pa.compute.greater(held["n"], 1)).to_batches()
+            yield from held.to_batches()
 
     counted = docs.select(docs[text_col].alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     with Scratch(docs.sparkSession) as scratch:

@@ -28,7 +28,7 @@ from marlstone.llm.textbatch import Words, runs
 from marlstone.llm.token_counts import count_word, token_counts
 from marlstone.llm.token_files import token_files
 from marlstone.llm.toxicity import decide_texts, fit, folded, kernel, toxicity
-from marlstone.llm.transducer import Lexicon, bpe_round_trip, compile_lexicon
+from marlstone.llm.transducer import Lexicon, bpe_round_trip, compile_lexicon, frequent_chunks
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_tokens long, score double, words long, key long, class_id long"
@@ -87,6 +87,15 @@ def test_token_counts_and_round_trip_match_the_library(spark, texts):
         assert r.decoded_sha256 == hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_frequent_chunks_are_counted_whole(spark):
+    # one word is met once by each of 40 tasks, others twice by one task
+    rows = [f"everywhere t{k} t{k}" for k in range(40)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize([(t,) for t in rows], 40), "text string")
+    assert frequent_chunks(docs, size=1) == ["everywhere"]
+    assert frequent_chunks(docs, size=41) == ["everywhere", *sorted(f"t{k}" for k in range(40))]
+    assert frequent_chunks(spark.createDataFrame([("b a",), ("a c",)], "text string"), size=3) == ["a", "b", "c"]
+
+
 def test_heap_and_list_merging_agree(words):
     v = bpe.vocabulary(bpe.default_path())
     many = [*words, "a", "supercalifragilistic", "ééé", "漢字", "x" * 90]
