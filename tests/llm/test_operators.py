@@ -641,6 +641,36 @@ def test_attention_gradients():
                 assert abs((up - down) / (2 * h) - g[name].reshape(-1)[k]) < 1e-4, name
 
 
+def test_training_maps_every_id_once():
+    m, rng = small_model()
+    rows = []
+
+    class Watched(np.ndarray):
+        def __array_ufunc__(self, ufunc, method, *inputs, **more):
+            if ufunc is np.matmul:
+                rows.append(max(math.prod(np.shape(i)[:-1]) for i in inputs))
+            return getattr(ufunc, method)(*map(np.asarray, inputs), **more)
+
+    m.p |= {k: m.p[k].view(Watched) for k in "qkvo"}
+    x, y = rng.integers(0, 71, (64, 32)), rng.integers(0, 70, (64, 32))
+    lp, g = m.learn(x, y, np.ones((64, 32), bool))
+    assert len(lp) == 64 * 32 and rows and max(rows) <= 71  # ids, not the 2,048 places that hold them
+
+
+@pytest.mark.parametrize("scale", [1, 30, 300])
+def test_training_holds_with_large_logits(scale):
+    m, rng = small_model()
+    x, y = rng.integers(0, 71, (5, 32)), rng.integers(0, 70, (5, 32))
+    used = rng.random((5, 32)) < 0.8
+    m.p |= {k: m.p[k] * np.float32(scale) for k in "qcd"}
+    lp, g = m.learn(x, y, used)
+    m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
+    exact, want = m.learn(x, y, used)
+    assert np.allclose(lp, exact, rtol=1e-3, atol=1e-3)
+    assert all(np.allclose(g[k], want[k], rtol=1e-2, atol=1e-3 * abs(want[k]).max()) for k in g)
+    assert not m.learn(x, y, used & False)[0].size
+
+
 def test_segments_are_recalled_from_other_rows_only():
     rng = random.Random(43)
     ctx = [f"c{k}" for k in range(6)]
