@@ -99,6 +99,12 @@ def test_states(spark):
         made(snap.union(spark.createDataFrame([("A", 51, at, 2)], snap.schema)))
 
 
+def test_exact_distinct_metric_has_no_limit(spark):
+    e = Engine(spark)
+    e.register("seen", spark.range(1_000_001).select(F.lit("A").alias("g"), F.col("id").alias("v")), C.Meaning(metrics=(C.Metric("different", "count", "v", distinct=True, dimensions=frozenset({"g"}), state=("exact_distinct", "v")),)))
+    assert rows_of(e.rows(Q.proposal("seen", g=Q.group("g"), m={"kind": "metric", "name": "different", "alias": "n"})).result()) == [("A", 1_000_001)]
+
+
 def item(**ops):
     return Q.proposal("items", **ops)
 
