@@ -97,6 +97,17 @@ def compose(left: DataFrame, right: DataFrame, keys: list[tuple[str, str, str]],
     return both.select(*cols)
 
 
+def _membership(left: DataFrame, right: DataFrame, wanted: Column) -> DataFrame:
+    """The different rows of both frames that are ``wanted`` by ``__left`` and ``__right``: whether that frame has them.
+
+    Each task first reduces what it reads to its different rows, so that equal ones are neither brought together nor sorted, however many there are.
+    """
+    names = [f"__c{i}" for i in range(len(left.columns))]
+    both = left.toDF(*names).withColumns({"__l": F.lit(True), "__r": F.lit(False)}).union(right.toDF(*names).withColumns({"__l": F.lit(False), "__r": F.lit(True)}))
+    found = both.groupBy(*names).agg(F.max("__l").alias("__left"), F.max("__r").alias("__right"))
+    return found.where(wanted).select(*names).toDF(*left.columns)
+
+
 def set_operation(left: DataFrame, right: DataFrame, operator: str, duplicates: str) -> DataFrame:
     """UNION, INTERSECT or EXCEPT, ALL or DISTINCT, of frames with the same columns in order; nulls are equal."""
     return {
@@ -105,5 +116,5 @@ def set_operation(left: DataFrame, right: DataFrame, operator: str, duplicates:
         ("intersect", "all"): lambda: left.intersectAll(right),
         ("intersect", "distinct"): lambda: left.intersect(right),
         ("except", "all"): lambda: left.exceptAll(right),
-        ("except", "distinct"): lambda: left.subtract(right),
+        ("except", "distinct"): lambda: _membership(left, right, F.col("__left") & ~F.col("__right")),
     }[operator, duplicates]()

@@ -13,6 +13,7 @@ import __spark_entry__ as entry
 from marlstone import queries as Q
 from marlstone.functions import exact
 from marlstone.operators.calendar import TimeContext, interval, midnight
+from marlstone.operators.joins import set_operation
 from marlstone.plans import catalog as C
 from marlstone.plans.errors import CompileError
 from marlstone.session import Engine, batches
@@ -105,6 +106,33 @@ def test_exact_distinct_metric_has_no_limit(spark):
     assert rows_of(e.rows(Q.proposal("seen", g=Q.group("g"), m={"kind": "metric", "name": "different", "alias": "n"})).result()) == [("A", 1_000_001)]
 
 
+def most_rows_read(spark, df):
+    """Rows of shuffles that one stage of the query reads at most."""
+    sc = spark.sparkContext
+    sc.setJobGroup(group := f"rows {id(df)}", group)
+    try:
+        rows = df.collect()
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = {s for j in sc.statusTracker().getJobIdsForGroup(group) for s in sc.statusTracker().getJobInfo(j).stageIds}
+        return rows, max(sc._jsc.sc().statusStore().lastStageAttempt(s).shuffleReadRecords() for s in stages)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        sc.setLocalProperty("spark.job.description", None)
+
+
+@pytest.mark.parametrize("operator", ["except"])
+def test_distinct_sets_do_not_gather_equal_rows(spark, operator):
+    left = spark.range(40_000).selectExpr("if(id % 4 = 3, null, id % 4) as a", "if(id % 4 = 1, -0.0d, 0.0d) as b")
+    right = spark.range(40_000).selectExpr("if(id % 2 = 0, null, 1) as x", "0.0d as y").selectExpr("cast(x as bigint) as x", "y")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, most = most_rows_read(spark, set_operation(left, right, operator, "distinct"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(map(tuple, rows), key=str) == {"except": [(0, 0.0), (2, 0.0)], "intersect": [(1, 0.0), (None, 0.0)]}[operator]
+    assert most < 200
+
+
 def item(**ops):
     return Q.proposal("items", **ops)
 
