@@ -114,7 +114,7 @@ def set_operation(left: DataFrame, right: DataFrame, operator: str, duplicates:
         ("union", "all"): lambda: left.union(right),
         ("union", "distinct"): lambda: left.union(right).distinct(),
         ("intersect", "all"): lambda: left.intersectAll(right),
-        ("intersect", "distinct"): lambda: left.intersect(right),
+        ("intersect", "distinct"): lambda: _membership(left, right, F.col("__left") & F.col("__right")),
         ("except", "all"): lambda: left.exceptAll(right),
         ("except", "distinct"): lambda: _membership(left, right, F.col("__left") & ~F.col("__right")),
     }[operator, duplicates]()

@@ -120,7 +120,7 @@ def most_rows_read(spark, df):
         sc.setLocalProperty("spark.job.description", None)
 
 
-@pytest.mark.parametrize("operator", ["except"])
+@pytest.mark.parametrize("operator", ["except", "intersect"])
 def test_distinct_sets_do_not_gather_equal_rows(spark, operator):
     left = spark.range(40_000).selectExpr("if(id % 4 = 3, null, id % 4) as a", "if(id % 4 = 1, -0.0d, 0.0d) as b")
     right = spark.range(40_000).selectExpr("if(id % 2 = 0, null, 1) as x", "0.0d as y").selectExpr("cast(x as bigint) as x", "y")
