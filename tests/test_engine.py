@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from marlstone import queries as Q
 from marlstone.functions import exact
+from marlstone.operators.allocation import allocate
 from marlstone.operators.calendar import TimeContext, interval, midnight
 from marlstone.operators.joins import set_operation
 from marlstone.plans import catalog as C
@@ -224,6 +225,45 @@ def test_allocation_rules(spark):
             run([(1, 100, 2, 3)], bad)
 
 
+def test_allocation_sorts_joined_rows_once(spark):
+    rng = random.Random(3)
+    pairs = [(t, k) for t in "xy" for k in range(40)]
+    bridge = [(t, k, c, d, rng.randint(0, 9)) for t, k in pairs for c in rng.sample(["A", "B", "C", None], rng.randint(1, 4)) for d in (1, None)]
+    bridge += [(t, k, "Z", 1, 1) for t, k in pairs]
+    of = {p: [r for r in bridge if r[:2] == p] for p in pairs}
+    amounts = [(t, k, rng.randint(-10**6, 10**6), len(of[t, k]), sum(r[4] for r in of[t, k])) for t, k in pairs]
+    # nobody's rows take no part, whatever they hold
+    stray = [("x", None, "A", 1, None), ("z", 1, "A", 1, 5), ("z", 1, "A", 1, -5)]
+
+    def shares(amounts, bridge):
+        left = spark.createDataFrame(amounts, "t string, k bigint, amount bigint, n bigint, w bigint")
+        right = spark.createDataFrame(bridge, "bt string, bk bigint, c string, d int, weight bigint")
+        return allocate(left, right, [("t", "bt"), ("k", "bk")], "amount", "n", "w", ["c", "d"], "weight")
+
+    want = []
+    for t, k, amount, _, whole in amounts:
+        cut = [(abs(amount) * r[4] // whole, abs(amount) * r[4] % whole, r[2], r[3]) for r in of[t, k]]
+        cut.sort(key=lambda x: (-x[1], x[2] is not None, x[2] or "", x[3] is not None, x[3] or 0))
+        more, sign = abs(amount) - sum(x[0] for x in cut), -1 if amount < 0 else 1
+        want += [(c, d, sign * (f + (i < more))) for i, (f, _, c, d) in enumerate(cut)]
+    df = shares(amounts, bridge + stray)
+    assert rows_of(df) == sorted(want, key=str)
+    t, k, *rest = amounts[0]
+    for a, b in (([*amounts, amounts[0]], bridge), ([*amounts, (None, 1, 5, 0, 0)], bridge), ([*amounts, ("q", 1, 5, 0, 0)], bridge), (amounts, [*bridge, (t, k, "Z", 1, 0)]), (amounts, [x for x in bridge if x[:3] != (t, k, "Z")])):
+        with pytest.raises(Exception, match="members are not as declared"):
+            shares(a, b).collect()
+    # a target of null that repeats, with number and sum as expected
+    with pytest.raises(Exception, match="members are not as declared"):
+        shares([("x", 1, 5, 2, 2)], [("x", 1, None, None, 1)] * 2).collect()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = shares(amounts, bridge)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joined = next(i for i, x in enumerate(plan) if "Join" in x)
+    assert sum("Sort [" in x for x in plan[:joined]) == 1 and sum("Sort [" in x for x in plan) == 3
+
+
 def test_calendar_bounds():
     at = TimeContext(dt.datetime(2024, 3, 31, 23, 30, tzinfo=dt.timezone.utc), "Europe/Zurich")
     assert interval(at, "month", 0, 1) == (dt.date(2024, 4, 1), dt.date(2024, 5, 1))
